@@ -221,7 +221,7 @@ def statements(demos: DataFrame) -> DataFrame:
 
 def classes_of(demos: DataFrame) -> DataFrame:
     """Records with ``class``: equal for all that make the same statement about the same pictures in one form."""
-    rows = corrected(statements(demos))
+    rows = corrected(cut(statements(demos)))
     rows = rows.withColumn("form", sided(worded(F.col("plain")), F.col("swapped")))
     return rows.select("row_id", "split", "source", "pair", "form", F.md5(F.concat_ws("\n", "pair", "form").cast("binary")).alias("class"))
 
