@@ -22,14 +22,14 @@ P4_SQL = """
 WITH raw AS (SELECT row_id, CASE WHEN json_valid(payload) THEN payload::JSON END AS p FROM raw_records),
 it AS (
   SELECT row_id, i.k AS item_pos, json_extract(p, '$.items[' || i.k || ']') AS item
-  FROM raw, LATERAL (SELECT unnest(range(coalesce(json_array_length(p, '$.items'), 0))) AS k) i
+  FROM raw, LATERAL (SELECT unnest(range(coalesce(json_array_length(p, '$.items')::BIGINT, 0))) AS k) i
   WHERE json_type(p, '$.items') = 'ARRAY'),
 conv AS (
   SELECT row_id, item_pos, CASE WHEN json_type(item, '$.conversations') = 'ARRAY' THEN json_extract(item, '$.conversations')
                                 WHEN json_type(item, '$.conversation') = 'ARRAY' THEN json_extract(item, '$.conversation') END AS c FROM it),
 turn AS (
   SELECT row_id, item_pos, j.k AS pos, json_extract(c, '$[' || j.k || ']') AS t
-  FROM conv, LATERAL (SELECT unnest(range(coalesce(json_array_length(c), 0))) AS k) j),
+  FROM conv, LATERAL (SELECT unnest(range(coalesce(json_array_length(c)::BIGINT, 0))) AS k) j),
 body AS (
   SELECT row_id, item_pos, pos, json_extract(t, '$.' || f.f) AS b FROM turn, (VALUES ('value'), ('content'), ('text')) f(f)
   WHERE json_type(t, '$.' || f.f) = 'ARRAY'),
@@ -37,12 +37,12 @@ lab AS (
   SELECT row_id, item_pos, l.name, json_extract(item, '$.labels."' || l.name || '"') AS v
   FROM it, LATERAL (SELECT unnest(json_keys(item, '$.labels')) AS name) l WHERE json_type(item, '$.labels') = 'OBJECT'),
 parts AS (
-  SELECT row_id, item_pos, pos, q.k AS part_pos FROM body, LATERAL (SELECT unnest(range(json_array_length(b))) AS k) q),
+  SELECT row_id, item_pos, pos, q.k AS part_pos FROM body, LATERAL (SELECT unnest(range(json_array_length(b)::BIGINT)) AS k) q),
 raters AS (
-  SELECT row_id, item_pos, name, q.k AS part_pos FROM lab, LATERAL (SELECT unnest(range(coalesce(json_array_length(v, '$.raters'), 0))) AS k) q
+  SELECT row_id, item_pos, name, q.k AS part_pos FROM lab, LATERAL (SELECT unnest(range(coalesce(json_array_length(v, '$.raters')::BIGINT, 0))) AS k) q
   WHERE json_type(v, '$.raters') = 'ARRAY'),
 pics AS (
-  SELECT row_id, item_pos, q.k AS pos FROM it, LATERAL (SELECT unnest(range(json_array_length(item, '$.images'))) AS k) q
+  SELECT row_id, item_pos, q.k AS pos FROM it, LATERAL (SELECT unnest(range(json_array_length(item, '$.images')::BIGINT)) AS k) q
   WHERE json_type(item, '$.images') = 'ARRAY'
   UNION ALL
   SELECT row_id, item_pos, 0 FROM it
