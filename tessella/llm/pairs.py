@@ -31,13 +31,13 @@ REFUSALS = [
     r"\boutside (?:of )?what i(?:'m| am) (?:permitted|allowed|able) to\b",
     r"\bdo(?:es)? not have the ability to (?:look|see|view|answer|process)\b",
     r"\bdon't have the ability to\b",
-    r"(?:抱歉|很遗憾|遗憾的是|对不起|作为.{0,6}模型).{0,20}(?:不能|无法|没办法|不可以)|(?:我|本模型)(?:不能|无法)(?:处理|回答|查看|提供|满足|完成|协助)|无法(?:回答|处理|查看|提供|协助)",
+    r"(?:抱歉|很遗憾|遗憾的是|对不起|作为.{0,6}模型).{0,20}(?:不能|无法|没办法|不可以)|(?:我|本模型)(?:不能|无法)(?:处理|回答|查看|提供|满足|完成|协助)|无法(?:回答|处理|查看|提供|协助)|模型.{0,6}看不到",
     r"お答えできません|対応できません|お応えできません|お手伝いできません|回答できません|見ることができません|お断り|応じられません|(?:申し訳|残念).{0,20}(?:ません|できない)|言語モデル",
     r"(?:извин|к сожалению|прост).{0,60}не (?:могу|смогу|в состоянии|имею)|(?:^|\W)не (?:могу|смогу) (?:\w+ ){0,2}(?:помочь|ответить|выполнить|обработать|посмотреть|увидеть|просматривать|отвечать)|как (?:языковая модель|ии|искусственн)|вынужден\w* отказ",
-    r"tut mir leid|leider (?:kann|darf|ist es mir)|ich (?:kann|darf) (?:\w+ ){0,5}nicht (?:\w+ ){0,3}(?:beantworten|helfen|bearbeiten|ansehen|sehen|beschreiben|nachkommen|erfüllen)|als (?:ki\b|sprachmodell)|bedaure|bedauere",
-    r"désolée?|je ne (?:peux|puis) (?:pas|malheureusement)|je ne suis pas (?:en mesure|capable|autoris)|il m'est impossible|malheureusement,? je|en tant qu(?:e modèle|'ia|'assistant)|je regrette",
-    r"lo siento|lamento|no puedo (?:\w+ ){0,2}(?:ayudar|responder|cumplir|procesar|atender|ver|describir|contestar|hacer)|no me es posible|como modelo de lenguaje|como (?:una )?ia\b|desafortunadamente,? no",
-    r"desculpe|sinto muito|lamento|infelizmente,? (?:eu )?não|não (?:posso|consigo) (?:\w+ ){0,2}(?:ajudar|responder|atender|processar|cumprir|ver|descrever)|como (?:um )?modelo de linguagem|não me é possível",
+    r"tut mir leid|leider (?:kann|darf|ist es mir)|kann ich (?:dir |ihnen )?leider nicht|leider nicht (?:beantworten|helfen|bearbeiten|möglich)|ich (?:kann|darf) (?:\w+ ){0,5}nicht (?:\w+ ){0,3}(?:beantworten|helfen|bearbeiten|ansehen|sehen|beschreiben|nachkommen|erfüllen)|als (?:ki\b|sprachmodell)|bedaure|bedauere",
+    r"désolée?|je ne (?:peux|puis) (?:pas|malheureusement)|je ne suis pas (?:en mesure|capable|autoris)|il m'est impossible|malheureusement,? je|impossible de répondre|en tant qu(?:e modèle|'ia|'assistant)|je regrette",
+    r"lo siento|lamento|no puedo (?:\w+ ){0,2}(?:ayudar|responder|cumplir|procesar|atender|ver|describir|contestar|hacer)|no (?:me )?es posible (?:responder|atender|ayudar|procesar)|como modelo de lenguaje|como (?:una )?ia\b|desafortunadamente,? no",
+    r"desculpe|sinto muito|lamento|infelizmente,? (?:eu )?não|não (?:posso|consigo) (?:\w+ ){0,2}(?:ajudar|responder|atender|processar|cumprir|ver|descrever)|como (?:um )?modelo de linguagem|não (?:me )?é possível (?:responder|atender|ajudar|processar)",
 ]
 
 #: What an answer may say around the question it gives back.
@@ -138,6 +138,8 @@ def by_rule(question: str | None, answer: str | None) -> tuple[str | None, str,
             name = _NAMES.get(there)
             if not (name and name.search(q)):
                 return "other_language", "closed", a
+    if a.lower() in q.lower():  # an option of the question, as it stands there
+        return None, "closed", a
     return None, ending(a), a
 
 
@@ -155,16 +157,26 @@ _TOKENS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[\p{L}\p{N}]+|[.!?。！？]
 _STOPS = (".", "!", "?", "。", "！", "？")
 
 
-def continuations(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """How often a word, and two words in a row, go on and how often a sentence ends with them, over distinct answers.
+def continuations(answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """How often sentences end with a word (v: n1, e1) and with two words in a row (u, v: n2, e2), and how often they end
+    one or two words after two words (u, v: n, s1, s2), over distinct answers.
 
-    A word at the very end without a closing mark counts for neither.
+    A word at the very end without a closing mark counts for nothing.
     """
     t = answers.select(F.regexp_extract_all(F.lower("text"), F.lit(_TOKENS), F.lit(0)).alias("t")).where(F.size("t") > 1)
-    triples = t.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - 1), lambda i: F.struct(F.when(i > 1, F.get("t", i - 2)).alias("u"), F.get("t", i - 1).alias("v"), F.get("t", i).alias("w")))).alias("x")).select("x.*")
-    triples = triples.where(~F.col("v").isin(*_STOPS)).groupBy("u", "v").agg(F.count("*").alias("n"), F.count_if(F.col("w").isin(*_STOPS)).alias("e"))
-    two = cut(triples)
-    return two.groupBy("v").agg(F.sum("n").alias("n1"), F.sum("e").alias("e1")), two.where("u is not null").select("u", "v", F.col("n").alias("n2"), F.col("e").alias("e2"))
+    window = F.transform(
+        F.sequence(F.lit(1), F.size("t") - 1),
+        lambda i: F.struct(F.when(i > 1, F.get("t", i - 2)).alias("u"), F.get("t", i - 1).alias("v"), F.get("t", i).alias("w"), F.get("t", i + 1).alias("x"), F.get("t", i + 2).alias("y")),
+    )
+    stop = lambda c: F.coalesce(F.col(c).isin(*_STOPS), F.lit(False))
+    rows = t.select(F.explode(window).alias("x")).select("x.*").where(~stop("v"))
+    two = rows.groupBy("u", "v").agg(
+        F.count("*").alias("n2"), F.count_if(stop("w")).alias("e2"), F.count_if(F.col("x").isNotNull()).alias("n"),
+        F.count_if(~stop("w") & stop("x")).alias("s1"), F.count_if(~stop("w") & ~stop("x") & stop("y")).alias("s2"),
+    )
+    two = cut(two)
+    known = two.where("u is not null")
+    return two.groupBy("v").agg(F.sum("n2").alias("n1"), F.sum("e2").alias("e1")), known.select("u", "v", "n2", "e2"), known.where("n >= 20").select("u", "v", "n", "s1", "s2")
 
 
 def extensions(answers: DataFrame) -> DataFrame:
@@ -255,16 +267,21 @@ _NEVER_LAST = sorted(set("the a an of and or in on at is are was were to from wi
 
 def truncated_texts(answers: DataFrame, limits: DataFrame, pairs: DataFrame) -> DataFrame:
     """Open answers that break off, as distinct texts."""
-    one, two = continuations(answers)
+    one, two, later = continuations(answers)
     open_ = answers.where(F.col("ending") == "open").select("text")
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(_TOKENS), F.lit(0))
-    open_ = open_.withColumn("t", tokens).select("text", F.size("t").alias("words"), F.get("t", F.size("t") - 2).alias("u"), F.try_element_at("t", F.lit(-1)).alias("v"))
+    open_ = open_.withColumn("t", tokens).select("text", F.size("t").alias("words"), *(F.try_element_at("t", F.lit(-n)).alias(c) for n, c in ((1, "v"), (2, "u"), (3, "p"), (4, "o"))))
     closed = answers.where(F.col("ending") == "closed").select(F.regexp_replace("text", "[.!?。！？]+$", "").alias("text")).distinct().withColumn("complete", F.lit(True))
     at_limit = pairs.where(F.col("ending") == "open").join(limits, (pairs["tab"] == limits["tab"]) & (F.length("text") == limits["size"])).select("text").distinct().withColumn("limit", F.lit(True))
     x = open_.join(extensions(answers), "text", "left").join(closed, "text", "left").join(at_limit, "text", "left")
-    x = x.join(two, ["u", "v"], "left").join(one, "v", "left").na.fill(0, ["n1", "e1", "n2", "e2"])
+    x = x.join(two, ["u", "v"], "left").join(one, "v", "left")
+    # with the last word, or the last two, left open
+    x = x.join(later.select(F.col("u").alias("p"), F.col("v").alias("u"), (F.col("s1") / F.col("n")).alias("after1")), ["p", "u"], "left")
+    x = x.join(later.select(F.col("u").alias("o"), F.col("v").alias("p"), (F.col("s2") / F.col("n")).alias("after2")), ["o", "p"], "left")
+    x = x.na.fill(0, ["n1", "e1", "n2", "e2", "after1", "after2"])
     x = x.where(F.col("complete").isNull())
     known = F.when(F.col("n2") >= 3, F.col("e2") >= 0.02 * F.col("n2")).when(F.col("n1") >= 3, F.col("e1") >= 0.02 * F.col("n1")).otherwise(False)
+    known = known | (F.col("n1") >= 3) & (F.greatest("after1", "after2") >= 0.3)
     long = F.col("words") >= 4
     broken = (
         ((F.col("words") >= 2) & F.col("v").isin(_NEVER_LAST))
