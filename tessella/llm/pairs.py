@@ -8,7 +8,9 @@ rest.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -76,29 +78,62 @@ _CLOSING = tuple(".!?。！？．\"”»」』)）'’")
 _CUT_MARKS = tuple(",;:、，；：-–—‐(（[{\"“«「„…")
 
 
+#: Pieces of which every refusal holds at least one; a plain search for them spares most answers the patterns.
+_REFUSAL_PIECES = (
+    "cannot", "can not", "can't", "could not", "couldn't", "won't", "will not", "able to", "possible for me", "decline", "rather not", "refuse to",
+    "allowed to", "permitted", "be completed", "be answered", "be processed", "be fulfilled", "content filter", "content policy", "no answer can", "against my",
+    "guidelines", "policies", "instructions", "outside", "have the ability", "tut mir", "leider", "ich kann", "ich darf", "als ki", "als sprachmodell", "bedau",
+    "desol", "je ne", "m'est", "malheureusement", "en tant", "regrette", "impossible", "siento", "lamento", "no puedo", "es posible", "como modelo", "como ia",
+    "como una ia", "como um modelo", "desafort", "sinto muito", "desculpe", "infelizmente",
+)
+_ASCII_WORD = re.compile(r"[a-z0-9]+")
+_LANGUAGES = list(FUNCTION_WORDS)
+_LANGUAGES_OF = {w: tuple(i for i, k in enumerate(_LANGUAGES) if w in _WORDS_OF[k]) for s in FUNCTION_WORDS.values() for w in s}
+_MARKS = '"“«「„'
+
+
 def tidy(text: str | None) -> str:
-    return " ".join(_INVISIBLE.sub("", _IMAGE.sub(" ", text or "")).split())
+    text = text or ""
+    if "<" in text:
+        text = _IMAGE.sub(" ", text)
+    if not text.isascii():
+        text = _INVISIBLE.sub("", text)
+    return " ".join(text.split())
+
 
+def words_in(text: str) -> list[str]:
+    return _ASCII_WORD.findall(text.lower()) if text.isascii() else _WORD.findall(text.lower())
 
-def language(text: str) -> str | None:
+
+def language(text: str, words: list[str] | None = None) -> str | None:
     """Language of a text by script and function words; None if the text doesn't tell. Quoted words don't count."""
-    text = _QUOTED.sub(" ", text)
-    letters = len(_LETTER.findall(text))
-    if not letters:
-        return None
-    for name, pattern in _SCRIPTS:
-        n = len(pattern.findall(text))
-        if n and (n >= 0.3 * letters or (name == "ja" and n >= 0.1 * letters)):
-            return name
-    words = _WORD.findall(text.lower())
-    score = {k: sum(w in s for w in words) for k, s in _WORDS_OF.items()}
-    best = max(score, key=score.get)
-    second = max(v for k, v in score.items() if k != best)
-    if score[best] > second and score[best] >= 2 or score[best] == 1 and second == 0 and len(words) <= 4:
-        return best
+    if any(m in text for m in _MARKS):
+        text, words = _QUOTED.sub(" ", text), None
+    if not text.isascii():
+        letters = len(_LETTER.findall(text))
+        for name, pattern in _SCRIPTS:
+            n = len(pattern.findall(text))
+            if n and (n >= 0.3 * letters or (name == "ja" and n >= 0.1 * letters)):
+                return name
+    words = words_in(text) if words is None else words
+    score = [0] * len(_LANGUAGES)
+    for w in words:
+        for i in _LANGUAGES_OF.get(w, ()):
+            score[i] += 1
+    ranked = sorted(score)
+    best, second = ranked[-1], ranked[-2]
+    if best > second and best >= 2 or best == 1 and second == 0 and len(words) <= 4:
+        return _LANGUAGES[score.index(best)]
     return None
 
 
+@lru_cache(maxsize=50_000)
+def _asked(question: str | None) -> tuple[str, list[str], str, str | None]:
+    q = tidy(question)
+    words = words_in(q)
+    return q, words, "".join(words), language(q, words)
+
+
 def ending(text: str) -> str:
     """'closed', 'cut' (breaks off visibly) or 'open' (no closing mark; the corpus must tell)."""
     if text.endswith(("...", "…")) or text.endswith("..") and len(text) > 2:
@@ -117,28 +152,26 @@ def ending(text: str) -> str:
 def by_rule(question: str | None, answer: str | None) -> tuple[str | None, str, str]:
     """(defect told by the pair alone, ending, answer without pictures and odd spacing)."""
     a = tidy(answer)
-    words = _WORD.findall(a.lower())
+    words = words_in(a)
     compact = "".join(words)
     if not compact or compact in STAND_INS:
         return "empty", "closed", a
-    if _REFUSAL.search(_QUOTED.sub(" ", a)):
+    low = a.lower()
+    if (not a.isascii() or any(k in low for k in _REFUSAL_PIECES)) and _REFUSAL.search(_QUOTED.sub(" ", a)):
         return "refusal", "closed", a
-    q = tidy(question)
-    asked = "".join(_WORD.findall(q.lower()))
+    q, q_words, asked, here = _asked(question)
     if asked and asked in compact:
-        rest = " ".join(words)
-        bare = " ".join(_WORD.findall(q.lower()))
+        rest, bare = " ".join(words), " ".join(q_words)
         rest = rest.replace(bare, " ") if bare in rest else compact.replace(asked, " ")
         if all(w in ECHO for w in rest.split()):
             return "copy", "closed", a
-    there = language(a)
-    if there and asked:
-        here = language(q)
-        if here and here != there and not ({here, there} == {"ja", "zh"} and len(compact) < 6):
+    if here:
+        there = language(a, words)
+        if there and here != there and not ({here, there} == {"ja", "zh"} and len(compact) < 6):
             name = _NAMES.get(there)
             if not (name and name.search(q)):
                 return "other_language", "closed", a
-    if a.lower() in q.lower():  # an option of the question, as it stands there
+    if low in q.lower():  # an option of the question, as it stands there
         return None, "closed", a
     return None, ending(a), a
 
