@@ -172,11 +172,23 @@ class NaiveBayes:
         self.odds = [np.where((total >= 3) & (m > 0), x - log[0], 0.0) for x, m in zip(log[1:], n[1:])]
         self.prior = [float(np.log(m / max(n[0], 1.0))) if m > 0 else -np.inf for m in n[1:]]
 
+    def __getstate__(self) -> dict:
+        # sent as its non-zero features only
+        dense = np.array(self.odds, np.float32)
+        at = np.flatnonzero(dense.any(axis=0))
+        return {"prior": self.prior, "at": at.astype(np.int32), "odds": dense[:, at]}
+
+    def __setstate__(self, state: dict) -> None:
+        self.prior = state["prior"]
+        dense = np.zeros((len(self.prior), BUCKETS), np.float32)
+        dense[:, state["at"]] = state["odds"]
+        self.odds = list(dense)
+
     def kinds(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Log odds of every passage (columns) for each kind (rows), from its flat features."""
         rows = []
         for prior, odds in zip(self.prior, self.odds):
-            ends = np.r_[0.0, np.cumsum(odds[flat])]
+            ends = np.r_[0.0, np.cumsum(odds[flat], dtype=float)]
             rows.append(prior + ends[offsets[1:]] - ends[offsets[:-1]])
         return np.array(rows)
 
@@ -262,6 +274,8 @@ def fit(data: DataFrame, rounds: int = ROUNDS, spies: float = SPY_QUANTILE) -> M
             return np.where(kind > 0, _one_hot(kind), p)
 
         model = _counted(data, expect)
+        now.destroy()
+    shared.destroy()
     return Model(first, floor, model)
 
 
