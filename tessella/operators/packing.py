@@ -1,7 +1,7 @@
 """Sequential grouping by budget: rows in order, closed before or after the budget is exceeded.
 
 A fold is sequential by nature. It runs per bucket (a stated part of each operator: the bucket is a hash of the key), so
-buckets fold in parallel, and streams rows through, so a bucket needs no memory for all its rows.
+buckets fold in parallel, and streams rows through, so a bucket needs no memory for all its rows. Null sizes count as 0.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ def bucketed(df: DataFrame, key: str, buckets: int, salt: str = "bucket") -> Dat
 def _fold(df: DataFrame, order: str, start, step, columns: list[str]) -> DataFrame:
     """(bucket, order, group): the fold's state survives from batch to batch within a partition."""
     schema = f"bucket int, {order} long, grp long"
-    sorted_ = df.select("bucket", order, *columns).repartition("bucket").sortWithinPartitions("bucket", order)
+    sorted_ = df.select("bucket", order, *[F.coalesce(c, F.lit(0)).alias(c) for c in columns]).repartition("bucket").sortWithinPartitions("bucket", order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket, state, group = None, None, 0
@@ -46,7 +46,7 @@ def pack_before(df: DataFrame, order: str, sizes: dict[str, int]) -> DataFrame:
     columns, budgets = list(sizes), list(sizes.values())
 
     def step(state, group, row):
-        item = [v or 0 for v in row[2:]]
+        item = row[2:]
         if state is None:
             return item, group
         both = [a + b for a, b in zip(state, item)]
@@ -62,8 +62,8 @@ def pack_after(df: DataFrame, order: str, size: str, budget: int) -> DataFrame:
 
     def step(state, group, row):
         if state is not None and state > budget:
-            return row[2] or 0, group + 1
-        return (state or 0) + (row[2] or 0), group
+            return row[2], group + 1
+        return (state or 0) + row[2], group
 
     return _fold(df, order, lambda: None, step, [size])
 

@@ -21,7 +21,8 @@ def first_line_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The first line of each file, an array of objects, as rows."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
     # a file's first line starts its first block; only that block is looked at
-    head = lines.where("at = 0").groupBy("file").agg(F.first("value").alias("value"))
+    # within it row numbers follow the lines
+    head = lines.withColumn("n", F.monotonically_increasing_id()).where("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("value"))
     return head.select("file", F.explode(F.from_json("value", f"array<{schema}>")).alias("row")).select("file", "row.*")
 
 

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The published schemas.
-CONVERSATION = T.StructType.fromDDL("id string, images array<struct<bytes:binary,path:string>>, conversation array<struct<role:string,content:string>>, source string")
-EVAL_ITEM = T.StructType.fromDDL("id string, question_type string, question string, images array<string>, options array<string>, answer string, data_source string, category string")
+_text = T.StringType()
+_fields = lambda **kinds: T.StructType([T.StructField(k, v) for k, v in kinds.items()])
+CONVERSATION = _fields(id=_text, images=T.ArrayType(_fields(bytes=T.BinaryType(), path=_text)), conversation=T.ArrayType(_fields(role=_text, content=_text)), source=_text)
+EVAL_ITEM = _fields(
+    id=_text, question_type=_text, question=_text, images=T.ArrayType(_text), options=T.ArrayType(_text), answer=_text, data_source=_text, category=_text,
+)
 
 
 def conformed_columns(df: DataFrame, schema: T.StructType) -> list[Column]:
@@ -33,18 +37,17 @@ def json_array(df: DataFrame, path: str) -> None:
     def arrays(batches):
         import pandas as pd
 
-        first, open_ = True, False
+        first = True
         for b in batches:
             out = []
             for v in b["value"]:
-                out.append(("[\n" if first else ",\n") + v)
-                first, open_ = False, True
-            if out:
-                yield pd.DataFrame({"value": ["".join(out)]})
-        if open_:
-            yield pd.DataFrame({"value": ["\n]"]})
-
-    rows.mapInPandas(arrays, "value string").write.mode("overwrite").option("lineSep", "").text(path)
+                out.append(("[" if first else ",") + v)
+                first = False
+            yield pd.DataFrame({"value": out})
+        if not first:
+            yield pd.DataFrame({"value": ["]"]})
+
+    rows.mapInPandas(arrays, "value string").write.mode("overwrite").text(path)
 
 
 def typed(df: DataFrame, path: str, schema: T.StructType, partitions: list[str] | None = None, mode: str = "overwrite") -> None:
