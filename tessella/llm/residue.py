@@ -68,7 +68,9 @@ TRUSTED_NOTICES = [
 TRUSTED_FILLER = [
     r"^(?:(?:lorem|ipsum|dolore?|sit|amet|consectetur|adipiscing|elit|sed|do|eiusmod|tempor|incididunt|ut|labore|et|magna|aliqua|enim|ad|minim|veniam|quis|nostrud|exercitation|ullamco|laboris|nisi|aliquip|ex|ea|commodo|consequat)\b\W*){4,}$", r"^(?:asdf|qwer)(?: (?:asdf|qwer))*\W*$", r"^x{4,}(?: x{4,})*\W*$", r"^(?:tbd\W*){2,}$", r"^todo\W+(?:write|add|insert)\b",
     r"^\[placeholder \w+\]$", r"^(?:sample caption|untitled image|no description provided yet|add your alt text|your description goes here)\W*$",
-    r"^type the text of this paragraph here\W*$", r"^this is a dummy paragraph that will be replaced\b", r"^here comes a longer blind text\b", r"^blindtext, der später ersetzt wird\W*$", r"^texte provisoire à remplacer\W*$",
+    r"^(?:no|untitled) \w+(?: \w+)?(?: provided)? yet\W*$", r"^untitled \w+\W*$", r"^insert \w+(?: \w+)? here\W*$", r"^replace this \w+(?: \w+)? with your own\W*$", r"^<\w+(?: \w+)* to be written>$",
+    r"^(\w+(?: \w+)?)(?: \1){2,}\W*$", r"^your \w+(?: \w+)? goes here\W*$", r"^add your \w+(?: \w+)?\W*$", r"^this \w+(?: \w+)? is only here to fill the page\b", r"^test(?: (?:test|\d+)){2,}\W*$",
+    r"^type the \w+ of this \w+ here\W*$", r"^this is a dummy paragraph that will be replaced\b", r"^here comes a longer blind text\b", r"^blindtext, der später ersetzt wird\W*$", r"^texte provisoire à remplacer\W*$",
 ]
 #: Slot forms that stand for nothing else; the other forms also occur as notation and get their weight by learning.
 TRUSTED_SLOTS = ("double_curly", "hash_curly", "comment", "dollar_curly", "curly_percent", "angle_percent", "percent_paren", "ats", "double_square", "double_angle", "square_order", "goes_here", "underscores")
@@ -80,6 +82,8 @@ _SLOTS = [(n, regex.compile(p, regex.I)) for n, p in SLOTS]
 _ANY_SLOT = regex.compile("|".join(p for _, p in SLOTS), regex.I)
 _NOTICE = regex.compile("|".join(f"(?:{p})" for p in TRUSTED_NOTICES), regex.I)
 _FILLER = regex.compile("|".join(f"(?:{p})" for p in TRUSTED_FILLER), regex.I)
+# stray characters at both ends: marks, digits, accents without a word
+_STRAY = regex.compile(r"^(?:[^\p{L}<\[{$%@«(|_#&]|é(?=[^\p{Ll}]))+|(?:(?<=[.!?\p{Ll}\p{Lu}])(?:[^\p{L}>\]}$%@»)|_;]|(?<=\P{L})é|é(?=é*$)(?<!\w\wé))+)$")
 _ABOUT = regex.compile(ABOUT, regex.I)
 _QUOTED = regex.compile(r"\"([^\"]*)\"|“([^”]*)”|「([^」]*)」")
 _TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]|[\p{L}\p{M}]+|\p{N}+")
@@ -99,7 +103,7 @@ def trusted(passage: str) -> int:
     """Kind of a trusted error or placeholder record, 0 for all other passages."""
     if _ABOUT.search(passage):
         return 0
-    bare = passage.strip(" \t-*#>()½0123456789") if not passage[:1].isdigit() else passage
+    bare = _STRAY.sub("", passage)
     for kind, pattern in ((NOTICE, _NOTICE), (FILLER, _FILLER)):
         if pattern.search(passage) or pattern.search(bare):
             return kind
@@ -134,10 +138,13 @@ def features(passage: str) -> list[int]:
 
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, passage): lines and sentences, tidied; blank ones left out."""
-    split = F.split(F.col(text), r"[\r\n]+|(?<=[.!?])\s+|(?<=[.!?][)\"”»])\s+(?=[\p{Lu}\p{Lo}\p{N}<\[{$%_@«|#(])|(?<=[。！？])")
+    """(key, passage): lines and sentences, tidied; those without words left out."""
+    # signatures of servers stand apart from what they sign
+    apart = F.regexp_replace(F.col(text), r"(nginx/[\d.]*\d|(?:Request id|Reference code):? [0-9a-f]{6,})", "\n$1\n")
+    split = F.split(apart, r"[\r\n]+|(?<=[.!?])\s+|(?<=[.!?][)\"”»])\s+(?=[\p{Lu}\p{Lo}\p{N}<\[{$%_@«|#(])|(?<=: \d)\s+(?=\p{Lu})|(?<=[。！？])")
     p = F.regexp_replace(F.regexp_replace("passage", "[\\u200b-\\u200f\\u2060\\ufeff\\u00ad]|<image>", " "), r"[\s\p{Z}]+", " ")
-    return docs.select(F.col(key), F.explode(split).alias("passage")).withColumn("passage", F.trim(p)).where(F.col("passage") != "")
+    worded = (F.length(F.regexp_replace("passage", r"[^\p{L}]", "")) >= 3) | F.col("passage").rlike(r"[<\[{$%@«|#_].*\p{L}")
+    return docs.select(F.col(key), F.explode(split).alias("passage")).withColumn("passage", F.trim(p)).where(worded)
 
 
 def featurised(distinct: DataFrame) -> DataFrame:
