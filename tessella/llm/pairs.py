@@ -190,25 +190,53 @@ _TOKENS = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]|[\p{L}\p{N}]+|[.!?。！？]
 _STOPS = (".", "!", "?", "。", "！", "？")
 
 
+_ASCII_TOKEN = re.compile(r"[a-z0-9]+|[.!?]")
+_TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]|[\p{L}\p{N}]+|[.!?。！？]")
+#: Word pairs counted by a Python worker before it hands them on.
+_HELD_PAIRS = 300_000
+
+
 def continuations(answers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """How often sentences end with a word (v: n1, e1) and with two words in a row (u, v: n2, e2), and how often they end
     one or two words after two words (u, v: n, s1, s2), over distinct answers.
 
-    A word at the very end without a closing mark counts for nothing.
+    A word at the very end without a closing mark counts for nothing. Counts are combined in the workers first.
     """
-    t = answers.select(F.regexp_extract_all(F.lower("text"), F.lit(_TOKENS), F.lit(0)).alias("t")).where(F.size("t") > 1)
-    window = F.transform(
-        F.sequence(F.lit(1), F.size("t") - 1),
-        lambda i: F.struct(F.when(i > 1, F.get("t", i - 2)).alias("u"), F.get("t", i - 1).alias("v"), F.get("t", i).alias("w"), F.get("t", i + 1).alias("x"), F.get("t", i + 2).alias("y")),
-    )
-    stop = lambda c: F.coalesce(F.col(c).isin(*_STOPS), F.lit(False))
-    rows = t.select(F.explode(window).alias("x")).select("x.*").where(~stop("v"))
-    two = rows.groupBy("u", "v").agg(
-        F.count("*").alias("n2"), F.count_if(stop("w")).alias("e2"), F.count_if(F.col("x").isNotNull()).alias("n"),
-        F.count_if(~stop("w") & stop("x")).alias("s1"), F.count_if(~stop("w") & ~stop("x") & stop("y")).alias("s2"),
-    )
-    two = cut(two)
-    known = two.where("u is not null")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: dict[tuple[str, str], list[int]] = {}
+
+        def rows() -> pd.DataFrame:
+            return pd.DataFrame([(*k, *c) for k, c in counts.items()], columns=["u", "v", "n2", "e2", "n", "s1", "s2"])
+
+        for b in batches:
+            for text in b["text"]:
+                low = text.lower()
+                t = (_ASCII_TOKEN if low.isascii() else _TOKEN).findall(low)
+                ends = [w in _STOPS for w in t]
+                last = len(t) - 1
+                for i in range(last):
+                    if ends[i]:
+                        continue
+                    c = counts.setdefault((t[i - 1] if i else "", t[i]), [0, 0, 0, 0, 0])
+                    c[0] += 1
+                    if ends[i + 1]:
+                        c[1] += 1
+                        c[2] += i + 2 <= last
+                    elif i + 2 <= last:
+                        c[2] += 1
+                        if ends[i + 2]:
+                            c[3] += 1
+                        elif i + 3 <= last and ends[i + 3]:
+                            c[4] += 1
+            if len(counts) > _HELD_PAIRS:
+                yield rows()
+                counts.clear()
+        yield rows()
+
+    sums = ("n2", "e2", "n", "s1", "s2")
+    two = cut(spread(answers.select("text")).mapInPandas(run, "u string, v string, n2 long, e2 long, n long, s1 long, s2 long").groupBy("u", "v").agg(*[F.sum(c).alias(c) for c in sums]))
+    known = two.where("u <> ''")
     return two.groupBy("v").agg(F.sum("n2").alias("n1"), F.sum("e2").alias("e1")), known.select("u", "v", "n2", "e2"), known.where("n >= 20").select("u", "v", "n", "s1", "s2")
 
 
