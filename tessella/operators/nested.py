@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
+
 #: An object with more distinct field names than this counts as a map of names, not as a struct.
 MAX_FIELDS = 200
 
@@ -117,13 +119,14 @@ def _fold(path: tuple, maps: tuple[str, ...]) -> tuple:
     return tuple(out)
 
 
-def shred(df: DataFrame, key: str, column: Column, tree: Node) -> dict[str, DataFrame]:
+def shred(df: DataFrame, key: str, column: Column, tree: Node, keep: bool = True) -> dict[str, DataFrame]:
     """Child tables of a variant column, one for each array or map in ``tree``, by path (``items[].images[]``, ``labels{}``).
 
     Each table has ``root`` (the row's key), ``parent`` (key of the parent row; null at the first level), ``id`` (own key:
     the parent's key, the path and the ordinal or name), ``ords`` (ordinals of all array levels, outermost first),
     ``name`` (of a map entry, else null) and ``value`` (variant). Null elements and entries have a row with a null value.
-    A value of another kind than its level's gives no rows there.
+    A value of another kind than its level's gives no rows there. With ``keep`` the outermost levels that have levels
+    below them are written once, so that the texts aren't parsed again for every table.
     """
     out: dict[str, DataFrame] = {}
     base = df.select(
@@ -134,7 +137,7 @@ def shred(df: DataFrame, key: str, column: Column, tree: Node) -> dict[str, Data
         F.lit(None).cast("string").alias("name"),
         column.alias("value"),
     ).where(F.col("value").isNotNull())
-    _children(base, tree, "", F.col("value"), out)
+    _children(base, tree, "", F.col("value"), out, keep)
     return out
 
 
@@ -143,10 +146,14 @@ def _get(value: Column, step: str, kind: str) -> Column:
     return F.try_variant_get(value, f"$['{quoted}']", kind)
 
 
-def _children(rows: DataFrame, node: Node, path: str, value: Column, out: dict[str, DataFrame]) -> None:
+def _deep(node: Node) -> bool:
+    return any(c.element or c.value or _deep(c) for c in node.fields.values()) or bool(node.element or node.value)
+
+
+def _children(rows: DataFrame, node: Node, path: str, value: Column, out: dict[str, DataFrame], keep: bool = False) -> None:
     for name, child in sorted(node.fields.items()):
         if child.fields or child.element or child.value:
-            _children(rows, child, f"{path}.{name}".lstrip("."), _get(value, name, "variant"), out)
+            _children(rows, child, f"{path}.{name}".lstrip("."), _get(value, name, "variant"), out, keep)
     if node.element:
         level = rows.select(
             "root", F.col("id").alias("parent"), "id", "ords", F.posexplode(F.try_variant_get(value, "$", "array<variant>")).alias("at", "item")
@@ -154,6 +161,8 @@ def _children(rows: DataFrame, node: Node, path: str, value: Column, out: dict[s
             "root", "parent", F.concat_ws("/", "id", F.lit(f"{path}[]"), "at").alias("id"),
             F.concat("ords", F.array("at")).alias("ords"), F.lit(None).cast("string").alias("name"), F.col("item").alias("value"),
         )
+        if keep and _deep(node.element):
+            level = cut(level)
         out[f"{path}[]"] = level
         _children(level, node.element, f"{path}[]", F.col("value"), out)
     if node.value:
