@@ -252,3 +252,16 @@ SIMPLE_DENOTATIONS = [
 ]
 OTHER_DENOTATIONS = ["an image", "one of the images", "a picture from the series", "a photograph in the sequence", "a selected image"]
 LAST_DENOTATIONS = ["the last image", "the final image", "the end image", "the last image in the series", "the final image in the sequence", "the end image of the series"]
+
+
+def literal_list(text: Column) -> Column:
+    """A list written as ``['a', "b"]`` as an array, read by pattern and never evaluated; null if it isn't one."""
+    items = F.regexp_extract_all(text, lit(r"""'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)\""""), lit(0))
+    inner = F.transform(items, lambda s: F.regexp_replace(F.substring(s, lit(2), F.length(s) - 2), r"\\(.)", "$1"))
+    return F.when(text.rlike(r"(?s)^\s*\[.*\]\s*$"), inner)
+
+
+def packed_names(name: Column, joint: str = "_cat_", ending: str = ".jpg") -> Column:
+    """A file name that packs several (``dir\\a_cat_b.jpg``) as the list of their names."""
+    stem = F.regexp_replace(F.substring_index(name, "\\", -1), ending.replace(".", r"\.") + "$", "")
+    return F.transform(F.split(stem, joint), lambda s: F.concat(s, lit(ending)))

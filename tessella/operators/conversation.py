@@ -220,7 +220,7 @@ def padded_length(n: Column, multiple: int) -> Column:
 def padded_batches(df: DataFrame, length: str, order: str, size: int, most: int) -> DataFrame:
     """batch, rows, width, padding of batches in ``order``: lengths are cut at ``most``, rows padded to the widest.
 
-    The order is ranked through ranges of ``order``, without a single task for all rows.
+    The order is ranked in ranges, without a single task for all rows.
     """
     ranked = ranked_by(df.select(order, F.least(F.col(length).cast("long"), F.lit(most)).alias("n")), order)
     return ranked.groupBy(F.floor((F.col("rn") - 1) / size).alias("batch")).agg(
@@ -231,27 +231,28 @@ def padded_batches(df: DataFrame, length: str, order: str, size: int, most: int)
 def ranked_by(df: DataFrame, *order: str | Column, name: str = "rn") -> DataFrame:
     """1-based ``name`` over the whole table in the given order, computed in ranges.
 
-    Rows are range-partitioned and checkpointed, the ranges counted, and each row numbered within its range plus the
-    rows of the ranges before it; only one count per range reaches the driver.
+    Rows are range-partitioned, sorted and numbered within their partition, and checkpointed; the counts of the
+    partitions before are added by a join with one row per partition.
     """
     from pyspark.sql import Window
 
+    parts = in_ranges(df, *order)
+    before = parts.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = before.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return parts.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__at")).drop("__part", "__at", "__before")
+
+
+def in_ranges(df: DataFrame, *order: str | Column) -> DataFrame:
+    """Rows with ``__part`` (range of the order) and ``__at`` (1-based place within it), checkpointed."""
     from ..session import cut
 
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     names = [f"__o{i}" for i in range(len(cols))]
-    keyed = df.withColumns(dict(zip(names, cols)))
-    parts = cut(keyed.repartitionByRange(*names).withColumn("__part", F.spark_partition_id()))
-    counts = {r[0]: r[1] for r in parts.groupBy("__part").count().collect()}
-    before, total = {}, 0
-    for p in sorted(counts):
-        before[p] = total
-        total += counts[p]
-    offset = F.lit(0).cast("long")
-    if before:
-        offset = F.element_at(F.create_map(*[F.lit(x) for p, b in before.items() for x in (p, b)]), F.col("__part")).cast("long")
-    w = Window.partitionBy("__part").orderBy(*names)
-    return parts.withColumn(name, offset + F.row_number().over(w)).drop("__part", *names)
+    ranged = df.withColumns(dict(zip(names, cols))).repartitionByRange(*names).sortWithinPartitions(*names)
+    # this id is the partition's number, 33 bits up, plus the place within the partition
+    rows = cut(ranged.withColumn("__id", F.monotonically_increasing_id()).drop(*names))
+    place = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return rows.withColumns({"__part": F.shiftright("__id", 33), "__at": place}).drop("__id")
 
 
 def split_long(df: DataFrame, budget: int, length: str = "tokens", turns: str = "turns") -> DataFrame:
@@ -291,3 +292,44 @@ def labels_from_text(block: Column) -> Column:
     entries = F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("k"), F.trim(F.substring_index(x, ":", -1)).try_cast("double").alias("v")))
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["k"] == e["k"]))
     return F.map_from_entries(last)
+
+
+def wide_to_array(*columns: Column) -> Column:
+    """Numbered columns as one array without nulls."""
+    return F.array_compact(F.array(*columns))
+
+
+def pictures_left(text: Column, images: Column, token: str = X.IMAGE) -> Column:
+    """Pictures whose token is still in a cut text."""
+    return F.slice(images, F.lit(1), F.least(X.count_token(text, token), F.size(images)))
+
+
+def pieces_within(sizes: Column, limit: int) -> Column:
+    """How many leading pieces fit into the limit together."""
+    sums = F.transform(sizes, lambda _, i: F.aggregate(F.slice(sizes, F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, x: a + x))
+    return F.size(F.filter(sums, lambda s: s <= limit))
+
+
+def without_id(ids: Column, labels: Column, unwanted: Column) -> Column:
+    """{ids, labels} without the places of one id."""
+    kept = F.filter(F.arrays_zip(ids.alias("i"), labels.alias("l")), lambda z: z["i"] != unwanted)
+    return F.struct(F.transform(kept, lambda z: z["i"]).alias("ids"), F.transform(kept, lambda z: z["l"]).alias("labels"))
+
+
+def picture_numbers(is_picture: Column) -> Column:
+    """For every token the number of picture tokens up to it."""
+    return F.transform(is_picture, lambda _, i: F.size(F.filter(F.slice(is_picture, F.lit(1), i + 1), lambda b: b)))
+
+
+def shot_groups(segments: Column) -> Column:
+    """[{type, content}] as [{images, text}]: pictures gather until the next text; trailing ones have no text."""
+    empty = F.array().cast("array<string>")
+    start = F.struct(F.array().cast("array<struct<images:array<string>,text:string>>").alias("done"), empty.alias("open"))
+
+    def step(state: Column, s: Column) -> Column:
+        closed = F.concat(state["done"], F.array(F.struct(state["open"].alias("images"), s["content"].alias("text"))))
+        text = s["type"] == "text"
+        return F.struct(F.when(text, closed).otherwise(state["done"]).alias("done"), F.when(text, empty).otherwise(F.concat(state["open"], F.array(s["content"]))).alias("open"))
+
+    rest = lambda state: F.when(F.size(state["open"]) > 0, F.array(F.struct(state["open"].alias("images"), F.lit(None).cast("string").alias("text")))).otherwise(F.array().cast("array<struct<images:array<string>,text:string>>"))
+    return F.aggregate(segments, start, step, lambda state: F.concat(state["done"], rest(state)))

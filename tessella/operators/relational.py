@@ -81,10 +81,24 @@ def demos(df: DataFrame, key: str, label: str, salt: str, k: int = 2, pool: int
 
 
 def running_mean(df: DataFrame, by: str, order: list[str], value: str, weight: str | None = None) -> DataFrame:
-    """``mean``: weighted mean of all rows so far, within each group."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    """``mean``: weighted mean of all rows so far, within each group.
+
+    Sums run within ranges of (group, order); the sums of a group's earlier ranges are added, so that a hot group is
+    spread over many tasks.
+    """
+    from .conversation import in_ranges
+
     n = F.col(weight) if weight else F.lit(1)
-    return df.withColumn("mean", F.sum(F.col(value) * n).over(w) / F.sum(n).over(w))
+    rows = in_ranges(df, by, *order)
+    local = Window.partitionBy("__part", by).orderBy("__at")
+    rows = rows.withColumns({"__v": F.sum(F.col(value) * n).over(local), "__w": F.sum(n).over(local)})
+    whole = rows.groupBy("__part", by).agg(F.max_by(F.struct("__v", "__w"), "__at").alias("__t"))
+    earlier = Window.partitionBy(by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.select("__part", F.col(by).alias("__by"), F.sum("__t.__v").over(earlier).alias("__bv"), F.sum("__t.__w").over(earlier).alias("__bw"))
+    out = rows.join(before, (rows["__part"] == before["__part"]) & rows[by].eqNullSafe(before["__by"])).drop(before["__part"])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    mean = (zero("__bv") + F.col("__v")) / (zero("__bw") + F.col("__w"))
+    return out.withColumn("mean", mean).drop("__part", "__at", "__v", "__w", "__by", "__bv", "__bw")
 
 
 def related_roots(df: DataFrame, key: str, related: str) -> DataFrame:

@@ -283,3 +283,76 @@ def interleaved_texts(spark, root):
     texts = F.transform("turns", lambda m, i: F.when(F.pmod(i, F.lit(2)) == 0, m["text"]))
     pics = F.transform("turns", lambda m, i: F.when(F.pmod(i, F.lit(2)) == 1, F.lit("pic")))
     return convs(spark, root).select("row_id", C.segments_by_images(texts, pics).alias("text"))
+
+
+@R.query("literal_lists", "SELECT id, array_to_string(options, '|') AS options FROM vqa_item WHERE len(options) > 0")
+def literal_lists(spark, root):
+    """Options written as a list literal and read back."""
+    o = F.transform("options", lambda x: F.concat(F.lit("'"), F.regexp_replace(x, r"(['\\\\])", r"\\$1"), F.lit("'")))
+    text = F.concat(F.lit("["), F.array_join(o, ", "), F.lit("]"))
+    v = table(spark, root, "vqa_item").where(F.size("options") > 0)
+    return v.select("id", F.array_join(X.literal_list(text), "|").alias("options"))
+
+
+@R.query("packed_picture_names", "SELECT id, array_to_string(list_transform(images, lambda p: regexp_replace(split_part(p, '/', -1), '\\.jpg$', '') || '.jpg'), ' ') AS names FROM vqa_item WHERE len(images) > 0")
+def packed_picture_names(spark, root):
+    stems = F.transform("images", lambda p: F.regexp_replace(F.substring_index(p, "/", -1), r"\.jpg$", ""))
+    packed = F.concat(F.lit("dir\\"), F.array_join(stems, "_cat_"), F.lit(".jpg"))
+    return table(spark, root, "vqa_item").where(F.size("images") > 0).select("id", F.array_join(X.packed_names(packed), " ").alias("names"))
+
+
+@R.query("pictures_of_pairs", "SELECT row_id, array_to_string(list_filter([left_url, right_url], lambda x: x IS NOT NULL), ' ') AS pictures FROM seed_demos")
+def pictures_of_pairs(spark, root):
+    return table(spark, root, "seed_demos").select("row_id", F.array_join(C.wide_to_array(F.col("left_url"), F.col("right_url")), " ").alias("pictures"))
+
+
+@R.query(
+    "cut_prompts",
+    f"""WITH {CONVS}, p AS (SELECT row_id, images, left({_prompt_sql(C.TEMPLATES['multi_v1'])}, 300) AS t, list_transform(turns, lambda m: length(m.text)) AS n FROM convs)
+    SELECT row_id, least({_TOKENS}, len(images))::INTEGER AS pics, len(list_filter(list_transform(n, lambda x, i: list_sum(n[1:i])), lambda s: s <= 200))::INTEGER AS turns FROM p""",
+)
+def cut_prompts(spark, root):
+    t = F.left(C.prompt(F.col("turns"), "multi_v1"), F.lit(300))
+    n = F.transform("turns", lambda m: F.length(m["text"]))
+    return convs(spark, root).select("row_id", F.size(C.pictures_left(t, F.col("images"))).alias("pics"), C.pieces_within(n, 200).alias("turns"))
+
+
+@R.query(
+    "picture_token_numbers",
+    """WITH w AS (SELECT id, list_transform(string_split(question, ' '), lambda x: x = '<image>') AS b FROM vqa_item)
+    SELECT id, array_to_string(list_transform(b, lambda x, i: len(list_filter(b[1:i], lambda y: y))), ' ') AS numbers FROM w""",
+)
+def picture_token_numbers(spark, root):
+    b = F.transform(F.split("question", " "), lambda x: x == "<image>")
+    return table(spark, root, "vqa_item").select("id", F.array_join(F.transform(C.picture_numbers(b), lambda n: n.cast("string")), " ").alias("numbers"))
+
+
+@R.query(
+    "ids_without_token",
+    """WITH w AS (SELECT id, list_transform(string_split(question, ' '), lambda x: length(x)) AS n FROM vqa_item)
+    SELECT id, array_to_string(list_filter(n, lambda x: x <> 7), ' ') AS ids, array_to_string(list_transform(list_filter(list_transform(n, lambda x, i: {'x': x, 'i': i - 1}), lambda s: s.x <> 7), lambda s: s.i), ' ') AS labels FROM w""",
+)
+def ids_without_token(spark, root):
+    n = F.transform(F.split("question", " "), lambda x: F.length(x))
+    labels = F.transform(n, lambda _, i: i)
+    text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), " ")
+    r = table(spark, root, "vqa_item").select("id", n.alias("n"), labels.alias("l")).select("id", C.without_id(F.col("n"), F.col("l"), F.lit(7)).alias("r"))
+    return r.select("id", text(F.col("r.ids")).alias("ids"), text(F.col("r.labels")).alias("labels"))
+
+
+@R.query(
+    "shot_groups",
+    f"""WITH {CONVS}, t AS (SELECT row_id, images, string_split(coalesce(turns[1].text, ''), '<image>') AS p FROM convs),
+    s AS (SELECT row_id, flatten(list_transform(p, lambda x, i: list_filter([CASE WHEN trim(x, ' ' || chr(10)) <> '' THEN 'T' END, CASE WHEN i <= len(images) THEN 'I' END], lambda y: y IS NOT NULL))) AS s FROM t)
+    SELECT row_id, (len(list_filter(s, lambda y: y = 'T')) + CASE WHEN len(s) > 0 AND s[-1] = 'I' THEN 1 ELSE 0 END)::INTEGER AS shots, len(list_filter(s, lambda y: y = 'I'))::INTEGER AS pics FROM s""",
+)
+def shot_groups(spark, root):
+    c = convs(spark, root)
+    g = C.shot_groups(X.segments(F.coalesce(F.get("turns", F.lit(0))["text"], F.lit("")), F.col("images")))
+    return c.select("row_id", g.alias("g")).select("row_id", F.size("g").alias("shots"), F.aggregate("g", F.lit(0), lambda n, s: n + F.size(s["images"])).alias("pics"))
+
+
+@R.query("first_frames", f"WITH {CONVS} SELECT row_id, array_to_string(images[1:13], ' ') AS frames FROM convs WHERE len(images) > 0 AND list_position(images, NULL) IS NULL")
+def first_frames(spark, root):
+    c = convs(spark, root).where((F.size("images") > 0) & ~F.exists("images", lambda p: p.isNull()))
+    return c.select("row_id", F.array_join(F.slice("images", 1, 13), " ").alias("frames"))

@@ -222,12 +222,9 @@ def fixed_batches(spark, root):
     return P.batches(table(spark, root, "cls_training_example").select("row_id"), "row_id", 32)
 
 
-_FOLD_IN = f"SELECT row_id, {h_sql('bucket', 'row_id')} % 8 AS bucket, {{size}} FROM ({{rows}})"
-
-
 def _fold_sql(size: str, rows: str, first: str, carry: str, close: str) -> str:
     """A fold as a recursive query over the rows of each bucket; ``t`` is the state, ``g`` the group."""
-    return f"""WITH RECURSIVE {CONVS}, base AS MATERIALIZED (SELECT row_id, {h_sql('bucket', 'row_id')} % 8 AS bucket, {size} FROM ({rows})),
+    return f"""WITH RECURSIVE {CONVS}, base AS MATERIALIZED (SELECT row_id, {h_sql('bucket', 'row_id')} % 64 AS bucket, {size} FROM ({rows})),
     r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY row_id) AS n FROM base),
     f AS (SELECT bucket, n, row_id, {first} AS t, 0 AS g FROM r WHERE n = 1
       UNION ALL SELECT r.bucket, r.n, r.row_id, {carry}, CASE WHEN {close} THEN f.g + 1 ELSE f.g END FROM f JOIN r ON r.bucket = f.bucket AND r.n = f.n + 1)
@@ -240,13 +237,13 @@ _TOKENS = lambda: F.floor(F.aggregate("turns", F.lit(0).cast("long"), lambda a,
 
 @R.query("pack_before", _fold_sql("s", f"SELECT row_id, {_TOKENS_SQL} AS s FROM convs", "s", "CASE WHEN f.t + r.s > 8192 THEN r.s ELSE f.t + r.s END", "f.t + r.s > 8192"))
 def pack_before(spark, root):
-    df = P.bucketed(convs(spark, root).select("row_id", _TOKENS().alias("s")), "row_id", 8)
+    df = P.bucketed(convs(spark, root).select("row_id", _TOKENS().alias("s")), "row_id", 64)
     return P.pack_before(df, "row_id", {"s": 8192})
 
 
 @R.query("pack_after", _fold_sql("s", f"SELECT row_id, {_TOKENS_SQL} AS s FROM convs", "s", "CASE WHEN f.t > 8192 THEN r.s ELSE f.t + r.s END", "f.t > 8192"))
 def pack_after(spark, root):
-    df = P.bucketed(convs(spark, root).select("row_id", _TOKENS().alias("s")), "row_id", 8)
+    df = P.bucketed(convs(spark, root).select("row_id", _TOKENS().alias("s")), "row_id", 64)
     return P.pack_after(df, "row_id", "s", 8192)
 
 
@@ -263,7 +260,7 @@ _TWO = "f.t.a + r.a > 2048 OR f.t.b + r.b > 2560"
 def pack_two_budgets(spark, root):
     c = convs(spark, root)
     text = F.floor(F.aggregate("turns", F.lit(0).cast("long"), lambda a, m: a + F.length(m["text"])) / 4)
-    df = P.bucketed(c.select("row_id", text.alias("a"), (256 * F.size("images")).cast("long").alias("b")), "row_id", 8)
+    df = P.bucketed(c.select("row_id", text.alias("a"), (256 * F.size("images")).cast("long").alias("b")), "row_id", 64)
     return P.pack_before(df, "row_id", {"a": 2048, "b": 2560})
 
 
@@ -275,14 +272,14 @@ def pack_two_budgets(spark, root):
     ),
 )
 def run_merge(spark, root):
-    df = P.bucketed(table(spark, root, "training_example").select("row_id"), "row_id", 8)
+    df = P.bucketed(table(spark, root, "training_example").select("row_id"), "row_id", 64)
     return P.run_groups(df, "row_id", P.run_length(F.col("row_id"), "run", 5, 2, 4))
 
 
 @R.query("shard_bytes", _fold_sql("s", "SELECT doc_id AS row_id, strlen(coalesce(text, '')) AS s FROM documents", "s", "CASE WHEN f.t + r.s > 20000 THEN r.s ELSE f.t + r.s END", "f.t + r.s > 20000"))
 def shard_bytes(spark, root):
     df = table(spark, root, "documents").select(F.col("doc_id").alias("row_id"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("s"))
-    return P.pack_before(P.bucketed(df, "row_id", 8), "row_id", {"s": 20000})
+    return P.pack_before(P.bucketed(df, "row_id", 64), "row_id", {"s": 20000})
 
 
 @R.query(

@@ -109,3 +109,27 @@ def stored_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
             raise
         return spark.createDataFrame([], schema)
     return df
+
+
+# Endings of a video dataset's files and what they hold.
+VIDEO_FILES = [("_cap_processed.json", "caption"), ("_oe_qa_processed.json", "open_ended"), ("_mc_qa_processed.json", "multi_choice")]
+
+
+def video_subset(path):
+    """{subset, kind} of a file by its name; a ``_v0_1`` in the folder's name is part of the subset."""
+    name = F.substring_index(path, "/", -1)
+    kind = F.lit(None).cast("string")
+    stem = name
+    for ending, value in VIDEO_FILES:
+        kind = F.when(name.endswith(ending), value).otherwise(kind)
+        stem = F.when(name.endswith(ending), F.regexp_replace(name, ending.replace(".", r"\.") + "$", "")).otherwise(stem)
+    return F.struct(stem.alias("subset"), kind.alias("kind"))
+
+
+def task_items(spark: SparkSession, tasks: list[dict], schema: str) -> DataFrame:
+    """Items of several task files in one table: each task is {task, path, prefix, kind, bounded}."""
+    out = None
+    for t in tasks:
+        df = json_table(spark, t["path"], schema).select(F.lit(t["task"]).alias("task"), F.lit(t["prefix"]).alias("prefix"), F.lit(t["kind"]).alias("kind"), F.lit(bool(t["bounded"])).alias("bounded"), "*")
+        out = df if out is None else out.unionByName(df)
+    return out

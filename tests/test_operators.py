@@ -338,3 +338,32 @@ def test_clashing_columns_stay_out_of_the_way(spark):
     df = spark.createDataFrame([(1, "k", 9, 9)], "row_id long, source string, rn long, n long")
     assert S.balanced(df.drop("rn", "n"), "source", "row_id").count() == 1
     assert L.merged_by(spark.createDataFrame([(1, ["a"], [1])], "row_id long, images array<string>, turns array<int>"), L.media_key(F.col("images")), "row_id").count() == 1
+
+
+def test_file_names_and_tasks(spark, tmp_path):
+    df = spark.createDataFrame([("x/0_30_s_v0_1/0_30_s_v0_1_cap_processed.json",), ("a/b_mc_qa_processed.json",), ("odd.txt",)], "p string")
+    got = [(r["s"]["subset"], r["s"]["kind"]) for r in df.select(readers.video_subset(F.col("p")).alias("s")).collect()]
+    assert got == [("0_30_s_v0_1", "caption"), ("b", "multi_choice"), ("odd.txt", None)]
+    for n in ("a", "b"):
+        (tmp_path / f"{n}.json").write_text('[{"question": "q"}, {"question": "r"}]')
+    tasks = [{"task": n, "path": str(tmp_path / f"{n}.json"), "prefix": "v/", "kind": "video", "bounded": n == "a"} for n in ("a", "b")]
+    assert readers.task_items(spark, tasks, "question string").groupBy("task", "bounded").count().count() == 2
+
+
+def test_stream_scores_new_files_once(spark, tmp_path):
+    from tessella.streaming import incremental
+
+    src, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    score = lambda df: df.select("id", (F.col("id") * 2).alias("twice"))
+    spark.range(5).write.parquet(src)
+    assert incremental.scored_once(spark, src, "id", score, out, state).count() == 5
+    spark.range(3, 8).write.mode("append").parquet(src)
+    again = incremental.scored_once(spark, src, "id", score, out, state)
+    assert sorted(r["id"] for r in again.collect()) == list(range(8))
+
+
+def test_annotation_codecs(spark):
+    r = spark.createDataFrame([(bytearray(b"x"), "a.PNG"), (bytearray(b"x"), "a")], "b binary, p string").select(A.data_url(F.col("b"), F.col("p")).alias("u")).collect()
+    assert [x["u"] for x in r] == ["data:image/png;base64,eA==", "data:image/jpeg;base64,eA=="]
+    p = spark.range(1).select(A.price_per_token(F.lit("unknown")).alias("x"), A.example_prompt("Do.", F.array(F.lit("e")), F.lit("i")).alias("t")).first()
+    assert p["x"] != p["x"] and p["t"] == "Do.\n\nExample 1:\ne\n\ni"
