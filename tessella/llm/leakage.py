@@ -11,6 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import spread
 from .fm_index import FMIndex
@@ -185,13 +186,13 @@ def find_leaks(
             keys: dict[str, list] = {}
             kept, held = [], 0
 
-            def flush() -> Iterator[pa.RecordBatch]:
+            def rows_of(found: list, docs_: list) -> Iterator[pa.RecordBatch]:
                 finds: dict[tuple[int, int], list] = {}
-                for d, item, e, a, b in search_shard([w for w, _, _ in kept], phrases, edits):
+                for d, item, e, a, b in found:
                     finds.setdefault((d, item), []).append((e, a, b))
                 out = []
                 for (d, item), hits in finds.items():
-                    _, spans, text_ = kept[d]
+                    _, spans, text_ = docs_[d]
                     whole = [e for e, _, _ in hits if e >= 0]
                     ranges = merged([(spans[a][0], spans[b - 1][1]) for _, a, b in hits if b > a])
                     at = [{"start": a, "end": b} for a, b in ranges]
@@ -200,7 +201,17 @@ def find_leaks(
                     cols = [pa.array([o[i] for o in out], type=t) for i, t in enumerate(types)]
                     yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
-            from pyspark.sql.pandas.types import to_arrow_type
+            def flush() -> Iterator[pa.RecordBatch]:
+                yield from rows_of(search_shard([w for w, _, _ in kept], phrases, edits), kept)
+
+            def long_text(doc: tuple) -> Iterator[pa.RecordBatch]:
+                """Texts beyond a shard go through it in windows that overlap by more than the longest question."""
+                overlap = 2 * (max(map(len, phrases.words)) + edits)
+                found: set = set()
+                for begin in range(0, len(doc[0]), max(shard_words, overlap)):
+                    window = doc[0][begin : begin + max(shard_words, overlap) + overlap]
+                    found |= {(0, item, e, a + begin, b + begin) for _, item, e, a, b in search_shard([window], phrases, edits)}
+                yield from rows_of(sorted(found), [doc])
 
             types = [to_arrow_type(f.dataType) for f in schema.fields]
             if not phrases.ids:
@@ -215,6 +226,10 @@ def find_leaks(
                     if not w:
                         continue
                     keys[t] = [k]
+                    if len(w) > shard_words:
+                        yield from long_text((w, spans, t))
+                        del keys[t]
+                        continue
                     kept.append((w, spans, t))
                     held += len(w)
                     if held >= shard_words:

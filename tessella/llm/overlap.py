@@ -125,10 +125,13 @@ def corrected(records: DataFrame) -> DataFrame:
     """``plain`` with slips mended. Only statements that hold a slip are touched; whether the table of slips is
     broadcast is decided at run time by its measured size."""
     statements = records.select("plain").distinct()
-    words = statements.select("plain", F.posexplode(F.split("plain", " ")).alias("at", "word"))
-    fixes = words.join(slips(statements), "word").groupBy("plain").agg(F.map_from_entries(F.collect_list(F.struct("at", "meant"))).alias("fixes"))
-    mended = fixes.select("plain", F.array_join(F.transform(F.split("plain", " "), lambda w, i: F.coalesce(F.try_element_at("fixes", i), w)), " ").alias("mended"))
-    return records.join(cut(mended), "plain", "left").withColumn("plain", F.coalesce("mended", "plain")).drop("mended")
+    # words travel with the digest of their statement, however long it is
+    key = F.md5(F.col("plain").cast("binary"))
+    words = statements.select(key.alias("key"), F.posexplode(F.split("plain", " ")).alias("at", "word"))
+    fixes = cut(words.join(slips(statements), "word").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("at", "meant"))).alias("fixes")))
+    mended = F.array_join(F.transform(F.split("plain", " "), lambda w, i: F.coalesce(F.try_element_at("fixes", i), w)), " ")
+    out = records.withColumn("key", key).join(fixes, "key", "left")
+    return out.withColumn("plain", F.when(F.col("fixes").isNull(), F.col("plain")).otherwise(mended)).drop("key", "fixes")
 
 
 class Codes:

@@ -282,6 +282,34 @@ def test_trusted():
     assert residue.trusted('A label reading "404 Not Found" hangs there.') == 0 and residue.trusted("The goat is not found at noon near the page.") == 0
 
 
+# ---- very long texts ---------------------------------------------------------------------------------------------
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(500)]
+    filler = " ".join(rng.choice(words) for _ in range(30_000))
+    cut_in = filler[:90_000].rsplit(" ", 1)[0]
+    text = f"{cut_in} {QUESTION} {filler[len(cut_in):]} {QUESTION.replace('six', 'sex')}"
+    docs = spark.createDataFrame([(1, text), (2, "y" * 200_000), (3, text + "\n404 Not Found")], "doc_id long, text string")
+    items = spark.createDataFrame([("i", QUESTION)], "id string, question string")
+    for shard in (1000, 250_000):
+        rows = leakage.find_leaks(docs, items, shard_words=shard).collect()
+        assert [(r["doc_id"], r["edits"], len(r["spans"])) for r in sorted(rows, key=lambda r: r["doc_id"])] == [(1, 0, 2), (3, 0, 2)]
+        assert rows[0]["spans"][0]["start"] == len(cut_in) + 1
+    plain = [(100 + i, f"The goat in frame {i % 7} stands near the {rng.choice(['wall', 'deck', 'canal'])} at {rng.choice(['noon', 'dusk'])} with {i} others.") for i in range(200)]
+    more = spark.createDataFrame([*plain, (500, "Error 503"), (501, "Page not found"), (502, "403 Forbidden")], "doc_id long, text string")
+    assert {r["doc_id"] for r in residue.residue_documents(docs.unionByName(more)).collect()} == {3, 500, 501, 502}
+    pair = (text, "http://h/a", "http://h/b", "s")
+    demos = spark.createDataFrame([(1, "train-1", *pair), (2, "dev-1", *pair)], "row_id long, identifier string, sentence string, left_url string, right_url string, source string")
+    assert overlap.cross_split_pairs(demos).count() == 1
+    d = spark.createDataFrame([(1, "q?", text), (2, "q?", text + ".")], "row_id long, question string, response string")
+    t = spark.createDataFrame([(1, "a", [("human", text)])], "row_id long, source string, conversations array<struct<role:string,value:string>>")
+    assert pairs.broken_pairs(d, t).count() == 0  # the same text with a full stop shows that nothing is missing
+    packed = binpack.packed(t.withColumn("images", F.array().cast("array<string>")).withColumn("image", F.lit(None).cast("string")), spark.createDataFrame([("a", 1000)], "name string, max_seq_len long")).collect()
+    assert sum(r["tokens"] for r in packed) == len(text) / 4 and len(packed) == -(-len(text) // 4000)
+
+
 # ---- all -------------------------------------------------------------------------------------------------------------
 
 
