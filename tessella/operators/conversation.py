@@ -261,9 +261,9 @@ def split_long(df: DataFrame, budget: int, length: str = "tokens", turns: str =
     parts = F.floor(F.col(length) / budget).cast("int") + 1
     raw = F.floor(n / parts).cast("int") + 1
     width = raw + F.pmod(raw, F.lit(2))
-    chunks = F.when(n == 0, F.lit(1)).otherwise(F.ceil(n / width).cast("int"))
-    out = df.withColumn("__w", width).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    return out.withColumn(turns, F.slice(turns, F.col("chunk") * F.col("__w") + 1, F.col("__w"))).drop("__w")
+    count = F.when(n == 0, F.lit(1)).otherwise(F.ceil(n / width).cast("int"))
+    slices = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.slice(turns, i * width + 1, width))
+    return df.select(*[c for c in df.columns if c != turns], F.posexplode(slices).alias("chunk", turns))
 
 
 def segments_by_images(texts: Column, images: Column) -> Column:

@@ -191,9 +191,10 @@ def tokens_after_role(spark, root):
     SELECT row_id, i::INTEGER AS turn, turns[i + 1].text AS question, turns[i + 2].text AS answer FROM t WHERE turns[i + 1].role = 'user' AND turns[i + 2].role = 'assistant'""",
 )
 def qa_pairs(spark, root):
-    t = convs(spark, root).select("row_id", "turns", F.posexplode("turns").alias("turn", "q"))
-    a = F.get("turns", F.col("turn") + 1)
-    return t.where((F.col("q.role") == "user") & (a["role"] == "assistant")).select("row_id", "turn", F.col("q.text").alias("question"), a["text"].alias("answer"))
+    n = F.greatest(F.size("turns") - 1, F.lit(0))
+    both = F.arrays_zip(F.slice("turns", F.lit(1), n).alias("q"), F.slice("turns", F.lit(2), n).alias("a"))
+    t = convs(spark, root).select("row_id", F.posexplode(both).alias("turn", "t"))
+    return t.where((F.col("t.q.role") == "user") & (F.col("t.a.role") == "assistant")).select("row_id", "turn", F.col("t.q.text").alias("question"), F.col("t.a.text").alias("answer"))
 
 
 @R.query(
