@@ -102,21 +102,23 @@ def sided(words: Column, swapped: Column) -> Column:
     return F.regexp_replace(s, r"^(.+) in sideb image is (.+) while one in sidea image is (.+)$", "$1 in sidea image is $3 while one in sideb image is $2")
 
 
-def slips(statements: DataFrame, ratio: int = 100, least: int = 100) -> DataFrame:
+def slips(statements: DataFrame, ratio: int = 15, share: int = 2500) -> DataFrame:
     """(word, meant): rare words one slip (dropped, added, changed or exchanged letter) from a word that is at least
-    ``ratio`` times as frequent and stands in at least ``least`` distinct statements.
+    ``ratio`` times as frequent. Rare is what stands in one statement of ``share`` at most, or in only one.
 
     ``statements`` has distinct ``plain`` texts. Words meet on what is left when one letter is dropped, so nothing is
     compared with everything and nothing is gathered.
     """
     count = statements.select(F.explode(F.split("plain", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     # wordings of the table are known words, however rarely they are used here
-    known = statements.sparkSession.createDataFrame([(w, 10 * least) for w in _KNOWN], "word string, n long")
-    count = cut(count.where((F.length("word") >= 3) & ~F.col("word").rlike(r"\d")).unionByName(known).groupBy("word").agg(F.max("n").alias("n")))
+    known = statements.sparkSession.createDataFrame([(w, ratio) for w in _KNOWN], "word string, k long")
+    count = count.where((F.length("word") >= 3) & ~F.col("word").rlike(r"\d")).join(F.broadcast(known), "word", "full")
+    total = statements.agg(F.count("*").alias("total"))
+    count = cut(count.select("word", F.greatest(F.coalesce("n", F.lit(0)), F.coalesce("k", F.lit(0))).alias("n")).crossJoin(F.broadcast(total)))
     drop = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring("word", 1, i - 1), F.substring("word", i + 1, F.length("word"))))
     near = count.withColumn("key", F.explode(F.array_distinct(F.concat(F.array("word"), drop))))
-    rare = near.where(~F.col("word").isin(_READ)).select("key", "word", "n")
-    common = near.where(F.col("n") >= least).select("key", F.col("word").alias("meant"), F.col("n").alias("m"))
+    rare = near.where((F.col("n") <= F.greatest(F.lit(1), F.col("total") / share)) & ~F.col("word").isin(_READ)).select("key", "word", "n")
+    common = near.where(F.col("n") >= ratio).select("key", F.col("word").alias("meant"), F.col("n").alias("m"))
     pairs = rare.join(common, "key").where((F.col("m") >= ratio * F.col("n")) & (F.col("word") != F.col("meant")) & (F.length("meant") >= 4 - (F.length("word") == F.length("meant")).cast("int")) & (F.levenshtein("word", "meant") <= 2))
     return pairs.groupBy("word").agg(F.max_by("meant", F.struct(-F.levenshtein("word", "meant"), "m", "meant")).alias("meant"))
 
