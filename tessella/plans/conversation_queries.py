@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import conversation as C
 from ..session import table
-from .registry import CONVS, Registry
+from .registry import CONVS, Registry, h_sql
 
 R = Registry()
 queries, oracle_sql = R.queries, R.oracle_sql
@@ -255,9 +255,19 @@ def count_by_pictures(spark, root):
     return convs(spark, root).groupBy(F.size("images").alias("pics")).agg(F.count("*").alias("rows"))
 
 
+def _denotation_sql(pools: list[list[str]], salt: str) -> str:
+    q = lambda xs: "[" + ", ".join("'" + x + "'" for x in xs) + "]"
+    place = "[" + ", ".join(q(p) for p in pools) + "][p0 + 1]"
+    pool = f"CASE WHEN n = 1 THEN ['the image'] WHEN p0 = n - 1 THEN list_concat({{p}}, {q(X.LAST_DENOTATIONS)}) ELSE {{p}} END"
+    pool = pool.replace("{p}", f"CASE WHEN p0 >= {len(pools)} THEN {q(X.OTHER_DENOTATIONS)} ELSE list_append({place}, 'image ' || (p0 + 1)) END")
+    h = h_sql(salt, "(row_id || ':' || p0)")
+    return f"({pool})[{h} % len({pool}) + 1]"
+
+
 @R.query(
     "image_denotations",
-    None,
+    f"""WITH {CONVS}, e AS (SELECT row_id, len(images) AS n, unnest(range(len(images))) AS p0 FROM convs)
+    SELECT row_id, p0::INTEGER AS at, {_denotation_sql(X.DENOTATIONS, 'phrase')} AS phrase, {_denotation_sql(X.SIMPLE_DENOTATIONS, 'simple')} AS simple FROM e""",
 )
 def image_denotations(spark, root):
     """A phrase for every picture of every conversation."""

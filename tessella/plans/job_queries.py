@@ -116,11 +116,16 @@ def job_video_placement(spark, root):
 
 @R.query(
     "job_multi_image_merge",
-    None,
+    f"""WITH RECURSIVE {CONVS}, b AS MATERIALIZED (SELECT row_id, len(turns) AS t, {h_sql('bucket', 'row_id')} % 8 AS bucket, CASE WHEN {h_sql('merge:alone', 'row_id')} % 10 < 5 THEN 1 ELSE 2 + {h_sql('merge:len', 'row_id')} % 3 END AS l
+      FROM convs WHERE len(images) > 0 AND len(turns) > 0 AND len(turns) % 2 = 0 AND list_bool_and(list_transform(turns, lambda t, i: coalesce(t.role = CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END, false)))),
+    r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY row_id) AS n FROM b),
+    f AS (SELECT bucket, n, row_id, t, l - 1 AS s, 0 AS g FROM r WHERE n = 1 UNION ALL
+      SELECT r.bucket, r.n, r.row_id, r.t, CASE WHEN f.s = 0 THEN r.l - 1 ELSE f.s - 1 END, CASE WHEN f.s = 0 THEN f.g + 1 ELSE f.g END FROM f JOIN r ON r.bucket = f.bucket AND r.n = f.n + 1)
+    SELECT min(row_id) AS first, count(*) AS merged, sum(t)::INTEGER AS turns FROM f GROUP BY bucket, g""",
 )
 def job_multi_image_merge(spark, root):
     """Conversations with pictures in drawn runs: one conversation a run, question and answer pairs in drawn order."""
-    c = convs(spark, root).where((F.size("images") > 0) & C.alternates(F.col("turns")) & (F.size("turns") % 2 == 0))
+    c = convs(spark, root).where((F.size("images") > 0) & C.alternates(F.col("turns")) & (F.size("turns") > 0) & (F.size("turns") % 2 == 0))
     b = P.bucketed(c, "row_id", 8)
     groups = P.run_groups(b.select("bucket", "row_id"), "row_id", P.run_length(F.col("row_id"), "merge", 5, 2, 4))
     pairs = c.join(groups, "row_id").select("bucket", "grp", "row_id", "images", F.posexplode(F.sequence(F.lit(0), F.floor(F.size("turns") / 2).cast("int") - 1)).alias("at", "k"), "turns")
@@ -183,7 +188,11 @@ def export_typed(spark, root):
 
 @R.query(
     "export_archives",
-    None,
+    f"""WITH RECURSIVE b AS MATERIALIZED (SELECT doc_id, strlen(coalesce(text, '')) AS size, {h_sql('archive', 'doc_id')} % 8 AS bucket FROM documents),
+    r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY doc_id) AS n FROM b),
+    f AS (SELECT bucket, n, size, size AS s, 0 AS g FROM r WHERE n = 1 UNION ALL
+      SELECT r.bucket, r.n, r.size, CASE WHEN f.s + r.size > 20000 THEN r.size ELSE f.s + r.size END, CASE WHEN f.s + r.size > 20000 THEN f.g + 1 ELSE f.g END FROM f JOIN r ON r.bucket = f.bucket AND r.n = f.n + 1)
+    SELECT 'part_' || bucket || '_' || g AS archive, count(*) AS files, sum(size)::BIGINT AS bytes FROM f GROUP BY bucket, g""",
 )
 def export_archives(spark, root):
     """Size-bounded archives of the documents."""
