@@ -98,3 +98,27 @@ def example_prompt(task: str, examples: Column, item: Column) -> Column:
     """Task, numbered examples, item."""
     shots = F.array_join(F.transform(examples, lambda e, i: F.concat(F.lit("Example "), (i + 1).cast("string"), F.lit(":\n"), e)), "\n\n")
     return F.concat(F.lit(task + "\n\n"), shots, F.lit("\n\n"), item)
+
+
+#: Models by name; a factory is called inside the executors, so heavy clients load where they run.
+MODELS: dict[str, Callable[[], Client]] = {"stub": lambda: stub}
+
+
+def register_model(name: str, factory: Callable[[], Client], override: bool = False) -> None:
+    if name in MODELS and not override:
+        raise ValueError(f"{name} is registered already")
+    MODELS[name] = factory
+
+
+def model(name: str) -> Client:
+    """The client of a registered model, made at its first call in each Python worker."""
+    if name not in MODELS:
+        raise ValueError(f"unknown model {name}; known are {sorted(MODELS)}")
+    factory, made = MODELS[name], []
+
+    def call(prompts: list[str], settings: dict) -> list[str]:
+        if not made:
+            made.append(factory())
+        return made[0](prompts, settings)
+
+    return call

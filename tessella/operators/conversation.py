@@ -333,3 +333,23 @@ def shot_groups(segments: Column) -> Column:
 
     rest = lambda state: F.when(F.size(state["open"]) > 0, F.array(F.struct(state["open"].alias("images"), F.lit(None).cast("string").alias("text")))).otherwise(F.array().cast("array<struct<images:array<string>,text:string>>"))
     return F.aggregate(segments, start, step, lambda state: F.concat(state["done"], rest(state)))
+
+
+def right_padded(values: Column, width: Column | int, pad: Column | int) -> Column:
+    """An array brought to ``width`` with ``pad`` at its end; longer ones are cut."""
+    w = width if isinstance(width, Column) else F.lit(width)
+    p = pad if isinstance(pad, Column) else F.lit(pad)
+    return F.slice(F.concat(values, F.array_repeat(p, F.greatest(w - F.size(values), F.lit(0)))), F.lit(1), w)
+
+
+def expanded_tokens(text: Column, tiles: Column, per_tile: int, token: str = X.IMAGE, inner: str = "<pad>", start: str = "<img>", end: str = "</img>", frames: bool = False) -> Column:
+    """The k-th picture token as start, ``per_tile`` inner tokens for each of its tiles, end; with ``frames`` each is
+    led by ``Frame k: ``. Tokens beyond the tiles stay as they are."""
+    p = X.pieces(text, token)
+
+    def one(s: Column, i: Column) -> Column:
+        n = F.get(tiles, i - 1)
+        full = F.concat(F.concat(F.lit("Frame "), i.cast("string"), F.lit(": ")) if frames else F.lit(""), F.lit(start), F.repeat(F.lit(inner), n * per_tile), F.lit(end))
+        return F.when(i == 0, s).otherwise(F.concat(F.coalesce(full, F.lit(token)), s))
+
+    return F.array_join(F.transform(p, one), "")

@@ -48,12 +48,15 @@ def media_key(images: Column) -> Column:
 
 
 def first_wins(df: DataFrame, by: list[str | Column], order: str) -> DataFrame:
-    """One row of each group, the one that comes first: an aggregate with partial combining, not a window, so that a hot
-    group is no single task. ``order`` is unique."""
+    """One row of each group, the one that comes first. ``order`` is unique and not null; null keys are a group too.
+
+    Digests of the keys and the smallest order are combined before the shuffle, so neither long keys nor a hot group
+    travel; the winners are then kept by their order.
+    """
     keys = [F.col(c) if isinstance(c, str) else c for c in by]
-    named = [k.alias(f"__k{i}") for i, k in enumerate(keys)]
-    best = df.select(*named, F.struct(order, *[c for c in df.columns if c != order]).alias("__row"))
-    return best.groupBy(*[f"__k{i}" for i in range(len(keys))]).agg(F.min_by("__row", F.col(f"__row.{order}")).alias("__row")).select("__row.*").select(*df.columns)
+    digest = F.md5(F.to_json(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])).cast("binary"))
+    winners = df.groupBy(digest.alias("__d")).agg(F.min(order).alias("__first")).select("__first")
+    return df.join(winners, df[order] == winners["__first"], "left_semi")
 
 
 def consecutive_pairs(df: DataFrame, order: str) -> DataFrame:
@@ -112,3 +115,10 @@ def related_roots(df: DataFrame, key: str, related: str) -> DataFrame:
     attached = df.select(key).join(first, key, "left")
     roots = attached.where("__to is null").select(F.col(key).alias("__to"), F.lit(True).alias("__root"))
     return attached.join(roots, "__to", "left").select(key, F.when(F.col("__root"), F.col("__to")).otherwise(F.col(key)).alias("root"))
+
+
+def zipped(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:
+    """Rows of two tables side by side by their place in the given orders; the longer table's rest is left out."""
+    from .conversation import ranked_by
+
+    return ranked_by(a, order_a, name="__rn").join(ranked_by(b, order_b, name="__rn"), "__rn").drop("__rn")

@@ -220,3 +220,67 @@ def dot_products(spark, root):
 @R.query("hash_numbers", f"SELECT row_id, {h_sql('any', 'row_id')} AS n FROM training_example")
 def hash_numbers(spark, root):
     return table(spark, root, "training_example").select("row_id", h("any", F.col("row_id")).alias("n"))
+
+
+@R.query(
+    "right_padded_ids",
+    """WITH w AS (SELECT id, list_transform(string_split(question, ' '), lambda x: length(x)) AS n FROM vqa_item)
+    SELECT id, array_to_string(list_concat(n[1:12], list_transform(range(greatest(12 - len(n), 0)), lambda x: 0)), ' ') AS ids,
+      array_to_string(list_concat(list_transform(n[1:12], lambda x: 1), list_transform(range(greatest(12 - len(n), 0)), lambda x: 0)), ' ') AS mask,
+      array_to_string(list_concat(n[1:12], list_transform(range(greatest(12 - len(n), 0)), lambda x: -100)), ' ') AS labels FROM w""",
+)
+def right_padded_ids(spark, root):
+    n = F.transform(F.split("question", " "), lambda x: F.length(x))
+    text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), " ")
+    v = table(spark, root, "vqa_item").select("id", n.alias("n"))
+    ones = F.transform("n", lambda _: F.lit(1))
+    return v.select("id", text(C.right_padded(F.col("n"), 12, 0)).alias("ids"), text(C.right_padded(ones, 12, 0)).alias("mask"), text(C.right_padded(F.col("n"), 12, -100)).alias("labels"))
+
+
+@R.query(
+    "tile_token_expansion",
+    """WITH p AS (SELECT id, string_split(question, '<image>') AS p, list_transform(images, lambda x, i: i % 3 + 1) AS t FROM vqa_item)
+    SELECT id, array_to_string(list_transform(p, lambda s, i: CASE WHEN i = 1 THEN s WHEN i - 1 > len(t) THEN '<image>' || s ELSE 'Frame ' || (i - 1) || ': <img>' || repeat('<pad>', t[i - 1] * 2) || '</img>' || s END), '') AS text FROM p""",
+)
+def tile_token_expansion(spark, root):
+    tiles = F.transform("images", lambda x, i: F.pmod(i + 1, F.lit(3)) + 1)
+    return table(spark, root, "vqa_item").select("id", C.expanded_tokens(F.col("question"), tiles, 2, frames=True).alias("text"))
+
+
+@R.query(
+    "job_caption_frames",
+    f"""WITH {CONVS} SELECT row_id, turns[2].text AS caption, array_to_string(list_transform(CASE WHEN len(images) > 4 THEN list_transform(range(4), lambda k: floor(k * (len(images) / 4))::BIGINT) ELSE range(len(images)) END, lambda k: images[k + 1]), ' ') AS frames
+    FROM convs WHERE len(images) > 0 AND list_position(images, NULL) IS NULL AND len(turns) > 1""",
+)
+def job_caption_frames(spark, root):
+    """The second turn as caption, with at most four frames evenly apart."""
+    c = convs(spark, root).where((F.size("images") > 0) & ~F.exists("images", lambda p: p.isNull()) & (F.size("turns") > 1))
+    at = G.sampled_frames(F.size("images"), 4, even=True)
+    return c.select("row_id", F.get("turns", F.lit(1))["text"].alias("caption"), F.array_join(F.transform(at, lambda k: F.get("images", k)), " ").alias("frames"))
+
+
+@R.query("positional_zip", "SELECT id, name FROM (SELECT id, row_number() OVER (ORDER BY id) AS n FROM vqa_item) JOIN (SELECT name, row_number() OVER (ORDER BY name) AS n FROM mixture_config) USING (n)")
+def positional_zip(spark, root):
+    return L.zipped(table(spark, root, "vqa_item").select("id"), table(spark, root, "mixture_config").select("name"), "id", "name")
+
+
+@R.query("id_mapping_join", "SELECT t.row_id, m.path FROM training_example t JOIN mixture_config m ON m.name = t.source")
+def id_mapping_join(spark, root):
+    """A table of settings joined by name; the optimiser broadcasts it by its measured size."""
+    return table(spark, root, "training_example").select("row_id", "source").join(table(spark, root, "mixture_config").select(F.col("name").alias("source"), "path"), "source").select("row_id", "path")
+
+
+@R.query("export_once", "SELECT id, 'v1' AS version FROM vqa_item")
+def export_once(spark, root):
+    """Results keyed by id are appended once: a second run finds all done and adds nothing."""
+    path = _scratch(spark, "once") + ".jsonl"
+    v = table(spark, root, "vqa_item").select("id")
+    for version in ("v1", "v2"):
+        done = readers.stored_results(spark, path, "id string, version string").select("id").distinct()
+        v.join(done, "id", "left_anti").withColumn("version", F.lit(version)).write.mode("append").json(path)
+    return readers.stored_results(spark, path, "id string, version string")
+
+
+@R.query("registered_model", "SELECT id, 'answer ' || substr(sha256('m' || chr(0) || trim(question)), 1, 12) AS completion FROM vqa_item")
+def registered_model(spark, root):
+    return A.completions(table(spark, root, "vqa_item"), "question", "id", "m", client=A.model("stub")).select("id", "completion")
