@@ -48,7 +48,7 @@ def p7_found(spark, root):
 def p7_passages(spark, root):
     """Distinct passages taken for residue, with their score."""
     _, scores = residue.passage_scores(table(spark, root, "documents"))
-    return scores.where((F.col("score") > 0) & ~residue.quotes_only(F.col("passage")))
+    return scores.where((F.col("score") > residue.THRESHOLD) & ~residue.quotes_only(F.col("passage")))
 
 
 def queries():

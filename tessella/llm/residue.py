@@ -23,6 +23,9 @@ ROUNDS = 4
 SMOOTH = 5.0
 #: Weight of an unlabelled passage's probability beside a trusted one.
 DAMP = 0.1
+#: Log odds from which a passage is residue. Words and their pairs overlap, so the odds of naive Bayes are inflated: on
+#: small corpora ordinary short passages reach 15, notices outside the trusted list 20 and more.
+THRESHOLD = 16.0
 #: Share of the spies that may score below the floor under which a passage is surely content.
 SPY_QUANTILE = 0.15
 
@@ -45,6 +48,7 @@ SLOTS = [
     ("bars", r"\|[A-Za-z]\w*\|"),
     ("square_order", r"\[(?:insert|your|enter|add|type|put|fill)\b[^\]]*\]"),
     ("escaped_angle", r"&lt;[A-Za-z]\w*&gt;"),
+    ("named", r"[\[<{«](?:[A-Z][A-Z_]{2,}|[a-z]+_[a-z0-9]+)[\]>}»]"),
     ("goes_here", r"\((?:\w+ )?\w+ goes here\)"),
     ("square", r"\[[A-Za-z]\w*\]"),
     ("angle", r"<(?!image>|/|br\b|b>|i>|p>|u>|em>|strong>|span|div|a\b|sup>|sub>|h\d>|li>|ul>|ol>|td>|tr>|table>)[A-Za-z]\w+>"),
@@ -58,6 +62,7 @@ TRUSTED_NOTICES = [
     r"^(?:your session has expired|(?:we are|this site is) down for maintenance|the service is (?:temporarily )?unavailable|this image is no longer available|the album has been removed)\W*$",
     r"^(?:seite nicht gefunden|página no encontrada|page introuvable|страница не найдена|页面不存在|ページが見つかりません)\W*$",
     r"^(?:sign in to see this photo|checking your browser before you can see the album|if the problem persists, contact the administrator)\W*$",
+    r"^(?:log in to continue|database connection failed|just a moment|verifying that you are human|your browser does not support the features required by this viewer)\W*$",
     r"^(?:this server could not finish your request|the address you asked for does not exist on this server|you lack the rights to view this gallery)\W*$",
     # scripts required
     r"^(?:please |you must |before going on, |to continue, |for the full experience,? ?)?(?:enable|activate|turn on|switch on|allow|permit|unblock) (?:client-side )?(?:javascript|js|scripts?|scripting|cookies)\b",
@@ -69,16 +74,16 @@ TRUSTED_FILLER = [
     r"^(?:(?:lorem|ipsum|dolore?|sit|amet|consectetur|adipiscing|elit|sed|do|eiusmod|tempor|incididunt|ut|labore|et|magna|aliqua|enim|ad|minim|veniam|quis|nostrud|exercitation|ullamco|laboris|nisi|aliquip|ex|ea|commodo|consequat)\b\W*){4,}$", r"^(?:asdf|qwer)(?: (?:asdf|qwer))*\W*$", r"^x{4,}(?: x{4,})*\W*$", r"^(?:tbd\W*){2,}$", r"^todo\W+(?:write|add|insert)\b",
     r"^\[placeholder \w+\]$", r"^(?:sample caption|untitled image|no description provided yet|add your alt text|your description goes here)\W*$",
     r"^(?:no|untitled) \w+(?: \w+)?(?: provided)? yet\W*$", r"^untitled \w+\W*$", r"^insert \w+(?: \w+)? here\W*$", r"^replace this \w+(?: \w+)? with your own\W*$", r"^<\w+(?: \w+)* to be written>$",
-    r"^(\w+(?: \w+)?)(?: \1){2,}\W*$", r"^your \w+(?: \w+)? goes here\W*$", r"^add your \w+(?: \w+)?\W*$", r"^this \w+(?: \w+)? is only here to fill the page\b", r"^test(?: (?:test|\d+)){2,}\W*$",
+    r"^(\w+(?: \w+)?)(?: \1){2,}\W*$", r"^your \w+(?: \w+)? goes here\W*$", r"^add your \w+(?: \w+)?\W*$", r"^this \w+(?: \w+)? is only here to fill the page\b", r"^test(?: (?:test|\d+)){2,}\W*$", r"^(?:foo|bar|baz)(?: (?:foo|bar|baz)){2,}\W*$",
     r"^type the \w+ of this \w+ here\W*$", r"^this is a dummy paragraph that will be replaced\b", r"^here comes a longer blind text\b", r"^blindtext, der später ersetzt wird\W*$", r"^texte provisoire à remplacer\W*$",
 ]
 #: Slot forms that stand for nothing else; the other forms also occur as notation and get their weight by learning.
-TRUSTED_SLOTS = ("double_curly", "hash_curly", "comment", "dollar_curly", "curly_percent", "angle_percent", "percent_paren", "ats", "double_square", "double_angle", "square_order", "goes_here", "underscores")
+TRUSTED_SLOTS = ("double_curly", "hash_curly", "comment", "dollar_curly", "curly_percent", "angle_percent", "percent_paren", "ats", "double_square", "double_angle", "square_order", "goes_here", "underscores", "named", "escaped_angle", "dollars", "percents", "bars")
 #: Said about a slot or notice, not in place of content.
 ABOUT = r"\b(?:says the (?:tutorial|manual)|written as|is replaced|stands for|notation|blackboard|chalkboard|poster|screenshot|slide|caption about|annotator|printf|label reading|the word|record field|remark field|run time)\b|[\"“”「]"
 # --------------------------------------------------------------------------------------------------------------------
 
-_SLOTS = [(n, regex.compile(p, regex.I)) for n, p in SLOTS]
+_SLOTS = [(n, regex.compile(p, 0 if n == "named" else regex.I)) for n, p in SLOTS]
 _ANY_SLOT = regex.compile("|".join(p for _, p in SLOTS), regex.I)
 _NOTICE = regex.compile("|".join(f"(?:{p})" for p in TRUSTED_NOTICES), regex.I)
 _FILLER = regex.compile("|".join(f"(?:{p})" for p in TRUSTED_FILLER), regex.I)
@@ -296,7 +301,7 @@ def scored(data: DataFrame, model: Model | NaiveBayes | None, keep: bool = False
             flat, offsets = _flat(b.column(1))
             s = np.full(b.num_rows, -np.inf) if m is None else m.score(flat, offsets)
             if keep:
-                s = np.where(b.column(2).to_numpy() > 0, np.maximum(s, 1.0), s)
+                s = np.where(b.column(2).to_numpy() > 0, np.maximum(s, 2 * THRESHOLD), s)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["passage", "score"])
 
     return data.select("passage", "features", "trusted").mapInArrow(run, "passage string, score double")
@@ -316,7 +321,7 @@ def passage_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return parts, scored(data, fit(data), keep=True)
 
 
-def residue_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.0) -> DataFrame:
+def residue_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Keys of documents that hold at least one passage more likely residue than content, with the worst score.
 
     Null and blank texts are no case; copies are judged alike and come out each; a corpus without any trusted record
