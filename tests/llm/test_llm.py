@@ -326,3 +326,18 @@ def test_query_runs(spark, root, name):
     }
     if name in want:
         assert df.dtypes == want[name]
+
+
+def test_results_dont_depend_on_partitions(spark, root):
+    from tessella.session import table
+
+    demos, training, config, docs, items = (table(spark, root, t) for t in ("seed_demos", "training_example", "mixture_config", "documents", "vqa_item"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    for make in (
+        lambda n: overlap.cross_split_pairs(demos.repartition(n)),
+        lambda n: pairs.broken_pairs(demos.repartition(n), training.repartition(n)),
+        lambda n: binpack.packed(training.repartition(n), config),
+        lambda n: leakage.find_leaks(docs.repartition(n), items, shard_words=500),
+        lambda n: bpe.encode_corpus(docs.repartition(n)),
+    ):
+        assert rows(make(1)) == rows(make(5))
