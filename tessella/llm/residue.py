@@ -92,6 +92,7 @@ _STRAY = regex.compile(r"^(?:[^\p{L}<\[{$%@«(|_#&]|é(?=[^\p{Ll}]))+|(?:(?<=[.!
 _ABOUT = regex.compile(ABOUT, regex.I)
 _QUOTED = regex.compile(r"\"([^\"]*)\"|“([^”]*)”|「([^」]*)」")
 _TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]|[\p{L}\p{M}]+|\p{N}+")
+_LETTERS = regex.compile(r"[a-z]+")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _INVISIBLE = regex.compile(r"[​-‏⁠﻿­]")
 
@@ -104,40 +105,53 @@ SLOT, NOTICE, FILLER = 1, 2, 3
 KINDS = 3
 
 
+#: Pieces of which every trusted notice or filler holds one (but for repeated words); they spare most passages the patterns.
+_PIECES = (
+    "not found", "forbidden", "server error", "gateway", "unavailable", "too many requests", "unauthori", "bad request", "error 4", "error 5", "be found", "denied", "went wrong", "expired",
+    "maintenance", "available", "been removed", "nicht gefunden", "no encontrada", "introuvable", "страница", "页面", "ページ", "sign in", "checking your", "persists", "log in", "database connection",
+    "just a moment", "verifying", "does not support", "could not finish", "does not exist", "lack the rights", "script", "js", "cookies",
+    "ipsum", "dolor", "amet", "adipiscing", "elit", "eiusmod", "tempor", "incididunt", "labor", "magna", "aliqu", "enim", "veniam", "quis", "nostrud", "exercitation", "ullamco", "nisi", "commodo",
+    "consequat", "asdf", "qwer", "xxxx", "tbd", "todo", "placeholder", " yet", "untitled", "insert", "your own", "to be written", "goes here", "add your", "only here to fill", "type the", "dummy",
+    "blind", "provisoire", "sample", "test", "foo", "baz", "no description",
+)
+_SLOT_HINT = regex.compile(r"[{\[<%$@|«&#]|__|goes here", regex.I)
+
+
 def trusted(passage: str) -> int:
     """Kind of a trusted error or placeholder record, 0 for all other passages."""
-    if _ABOUT.search(passage):
-        return 0
-    bare = _STRAY.sub("", passage)
-    for kind, pattern in ((NOTICE, _NOTICE), (FILLER, _FILLER)):
-        if pattern.search(passage) or pattern.search(bare):
-            return kind
-    return SLOT if any(p.search(passage) for n, p in _SLOTS if n in TRUSTED_SLOTS) else 0
+    kind, low = 0, passage.lower()
+    if any(k in low for k in _PIECES) or len(set(low.split())) <= 3:
+        bare = _STRAY.sub("", passage)
+        kind = next((k for k, pattern in ((NOTICE, _NOTICE), (FILLER, _FILLER)) if pattern.search(passage) or pattern.search(bare)), 0)
+    if not kind and _SLOT_HINT.search(passage) and any(p.search(passage) for n, p in _SLOTS if n in TRUSTED_SLOTS):
+        kind = SLOT
+    return 0 if kind and _ABOUT.search(passage) else kind
 
 
 def features(passage: str) -> list[int]:
     """Hashed features: words, word pairs, slots by form and name or their absence, words in quotes apart, size, capitals."""
     out = set()
     rest = passage
-    for name, pattern in _SLOTS:
-        for m in pattern.finditer(rest):
-            out.add(f"slot {name}")
-            out.add("slot")
-            out.update("in slot " + w for w in regex.findall(r"[a-z]+", m.group().lower()))
-        rest = pattern.sub(" ¤ ", rest)
+    if _SLOT_HINT.search(passage):
+        for name, pattern in _SLOTS:
+            found = pattern.findall(rest)
+            if found:
+                out.update(("slot", f"slot {name}"))
+                out.update("in slot " + w for m in found for w in _LETTERS.findall(m.lower()))
+                rest = pattern.sub(" ¤ ", rest)
     if not out:
         out.add("no slot")
-    for m in _QUOTED.finditer(rest):
-        out.add("quote")
-        out.update("quoted " + w for w in _TOKEN.findall(m.group().lower()))
-    rest = _QUOTED.sub(" ", rest)
+    if any(m in rest for m in '"“「'):
+        for m in _QUOTED.finditer(rest):
+            out.add("quote")
+            out.update("quoted " + w for w in _TOKEN.findall(m.group().lower()))
+        rest = _QUOTED.sub(" ", rest)
     words = _TOKEN.findall(rest.lower())
     # a single character of a script without spaces says little; there only pairs count
     out.update(w for w in words if not (len(w) == 1 and _UNSPACED.match(w)))
     out.update(a + " " + b for a, b in zip(["^", *words], [*words, "$"]))
     out.add(f"size {min(len(words), 12) // 2}")
-    letters = [c for c in rest if c.isalpha()]
-    if len(letters) > 3 and all(not c.islower() for c in letters) and any(c.isupper() for c in letters):
+    if rest.isupper() and sum(c.isalpha() for c in rest) > 3:
         out.add("capitals")
     return [zlib.crc32(f.encode()) % BUCKETS for f in sorted(out)]
 
