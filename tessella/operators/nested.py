@@ -2,7 +2,8 @@
 
 ``infer_schema`` merges the schemas of all rows into one tree of paths; ``shred`` walks that tree and turns every array
 or map level into a child table whose rows carry the key of their parent row, their own key and their ordinal.
-Nothing is collected but the tree, whose size is bounded by ``MAX_FIELDS`` per level and not by the rows.
+Nothing is collected but the tree. An object with many names becomes a map, whose entries are rows; fields named by the
+caller stay fields of it, and what lies below an entry is shredded like all else, so no level is lost to the folding.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..session import cut
 
-#: An object with more distinct field names than this counts as a map of names, not as a struct.
+#: An object with more distinct field names than this counts as a map of names; only named ones stay fields beside it.
 MAX_FIELDS = 200
 
 
@@ -55,11 +56,12 @@ def _paths(value, path: tuple, seen: set) -> None:
         seen.add((path, "null" if value is None else type(value).__name__))
 
 
-def infer_schema(df: DataFrame, column: str, max_fields: int = MAX_FIELDS, maps: tuple[str, ...] = ()) -> Node:
+def infer_schema(df: DataFrame, column: str, max_fields: int = MAX_FIELDS, maps: tuple[str, ...] = (), named: tuple[str, ...] = ()) -> Node:
     """Merged tree of the JSON texts in ``column``: one pass over all rows, distinct paths combined before the shuffle.
 
-    Objects whose last field name is in ``maps``, or that have more than ``max_fields`` names over all rows, become
-    maps. Null, empty and broken texts add nothing.
+    Objects whose last field name is in ``maps`` become maps. Of an object with more than ``max_fields`` names over all
+    rows, the fields in ``named`` stay fields and all others are folded into a map, with everything below them. Null,
+    empty and broken texts add nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,26 +78,30 @@ def infer_schema(df: DataFrame, column: str, max_fields: int = MAX_FIELDS, maps:
         rows = sorted(seen)
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps(p) for p, _ in rows], pa.string()), pa.array([k for _, k in rows], pa.string())], names=["path", "kind"])
 
-    paths = df.select(F.col(column).cast("string")).mapInArrow(run, "path string, kind string").distinct()
-    # parents with too many children are folded before anything is gathered
-    parent = F.regexp_replace("path", r',?\s*"(?:[^"\\]|\\.)*"\]$', "]")
-    crowded = paths.withColumn("parent", parent).groupBy("parent").agg(F.count_distinct("path").alias("n")).where(F.col("n") > max_fields)
-    wide = [r[0] for r in crowded.select("parent").limit(10_000).toLocalIterator()]
-    if wide:
-        folds = sorted((tuple(json.loads(w)) for w in wide), key=len)
-
-        def refold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    paths = cut(df.select(F.col(column).cast("string")).mapInArrow(run, "path string, kind string").distinct())
+    # objects with too many names are folded before anything is gathered, outermost first: what they hold merges then
+    while True:
+        last = F.regexp_extract("path", r'"((?:[^"\\]|\\.)*)"\]$', 1)
+        foldable = paths.where(last.startswith(".") & ~last.isin([f".{n}" for n in named]))
+        parent = F.regexp_replace("path", r',?\s*"(?:[^"\\]|\\.)*"\]$', "]")
+        crowded = foldable.groupBy(parent.alias("parent")).agg(F.count_distinct("path").alias("n")).where(F.col("n") > max_fields)
+        crowded = cut(crowded.select("parent", F.size(F.from_json("parent", "array<string>")).alias("depth")))
+        depth = crowded.agg(F.min("depth")).first()[0]
+        if depth is None:
+            break
+        folds = {tuple(json.loads(r[0])) for r in crowded.where(F.col("depth") == depth).select("parent").toLocalIterator()}
+
+        def refold(batches: Iterator[pa.RecordBatch], folds=folds, depth=depth) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 out = []
                 for p in batch.column(0).to_pylist():
-                    t = tuple(json.loads(p))
-                    for w in folds:
-                        if len(t) > len(w) and t[: len(w)] == w:
-                            t = (*w, "{}", *t[len(w) + 1 :])
+                    t = json.loads(p)
+                    if len(t) > depth and t[depth].startswith(".") and t[depth][1:] not in named and tuple(t[:depth]) in folds:
+                        t[depth] = "{}"
                     out.append(json.dumps(t))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), batch.column(1)], names=["path", "kind"])
 
-        paths = paths.mapInArrow(refold, "path string, kind string").distinct()
+        paths = cut(paths.mapInArrow(refold, "path string, kind string").distinct())
     root = Node()
     for path, kind in paths.toLocalIterator():
         node = root
@@ -124,7 +130,8 @@ def shred(df: DataFrame, key: str, column: Column, tree: Node, keep: bool = True
 
     Each table has ``root`` (the row's key), ``parent`` (key of the parent row; null at the first level), ``id`` (own key:
     the parent's key, the path and the ordinal or name), ``ords`` (ordinals of all array levels, outermost first),
-    ``name`` (of a map entry, else null) and ``value`` (variant). Null elements and entries have a row with a null value.
+    ``name`` (of the innermost map entry it is or lies in, else null) and ``value`` (variant). Of an object that is a map
+    besides its fields, the map's table holds the other entries. Null elements and entries have a row with a null value.
     A value of another kind than its level's gives no rows there. With ``keep`` the outermost levels that have levels
     below them are written once, so that the texts aren't parsed again for every table.
     """
@@ -156,10 +163,10 @@ def _children(rows: DataFrame, node: Node, path: str, value: Column, out: dict[s
             _children(rows, child, f"{path}.{name}".lstrip("."), _get(value, name, "variant"), out, keep)
     if node.element:
         level = rows.select(
-            "root", F.col("id").alias("parent"), "id", "ords", F.posexplode(F.try_variant_get(value, "$", "array<variant>")).alias("at", "item")
+            "root", F.col("id").alias("parent"), "id", "ords", "name", F.posexplode(F.try_variant_get(value, "$", "array<variant>")).alias("at", "item")
         ).select(
             "root", "parent", F.concat_ws("/", "id", F.lit(f"{path}[]"), "at").alias("id"),
-            F.concat("ords", F.array("at")).alias("ords"), F.lit(None).cast("string").alias("name"), F.col("item").alias("value"),
+            F.concat("ords", F.array("at")).alias("ords"), "name", F.col("item").alias("value"),
         )
         if keep and _deep(node.element):
             level = cut(level)
@@ -172,23 +179,11 @@ def _children(rows: DataFrame, node: Node, path: str, value: Column, out: dict[s
             "root", "parent", F.concat_ws("/", "id", F.lit(f"{path}{{}}"), "label").alias("id"),
             "ords", F.col("label").alias("name"), F.col("item").alias("value"),
         )
+        if node.fields:
+            level = level.where(~F.col("name").isin(sorted(node.fields)))
         # the name stays with everything below it
         out[f"{path}{{}}"] = level
-        if node.value.fields or node.value.element:
-            _named(level, node.value, f"{path}{{}}", out)
-
-
-def _named(level: DataFrame, node: Node, path: str, out: dict[str, DataFrame]) -> None:
-    for name, child in sorted(node.fields.items()):
-        if child.element:
-            deeper = level.select(
-                "root", F.col("id").alias("parent"), "id", "ords", "name",
-                F.posexplode(F.try_variant_get(_get(F.col("value"), name, "variant"), "$", "array<variant>")).alias("at", "item"),
-            ).select(
-                "root", "parent", F.concat_ws("/", "id", F.lit(f"{path}.{name}[]"), "at").alias("id"),
-                F.concat("ords", F.array("at")).alias("ords"), "name", F.col("item").alias("value"),
-            )
-            out[f"{path}.{name}[]"] = deeper
+        _children(level, node.value, f"{path}{{}}", F.col("value"), out)
 
 
 def explode_typed(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -232,10 +227,14 @@ def rating_children(ratings: DataFrame) -> DataFrame:
     return _row(pictures, tab, "image", pos=F.col("pos")).unionByName(_row(labels, tab, "label", name=F.col("name")))
 
 
+#: Fields that ``payload_children`` reads; they stay fields however many unknown keys stand beside them.
+PAYLOAD_FIELDS = ("items", "images", "image", "conversations", "conversation", "value", "content", "text", "labels", "raters")
+
+
 def payload_children(raw: DataFrame, payload: str = "payload") -> DataFrame:
     """The ``raw_records`` part: the payloads' tree is inferred, their levels shredded, and the levels named."""
     tab = "raw_records"
-    tree = infer_schema(raw, payload, maps=("labels",))
+    tree = infer_schema(raw, payload, maps=("labels",), named=PAYLOAD_FIELDS)
     tables = shred(raw, "row_id", F.try_parse_json(F.col(payload)), tree)
     at = lambda n: F.col("ords")[n]
     parts = []

@@ -296,6 +296,29 @@ def test_wide_objects_become_maps(spark):
     assert N.shred(df, "id", F.try_parse_json("payload"), tree)["m{}"].count() == 20
 
 
+def test_unknown_keys_cost_no_payload_rows(spark):
+    def payload(i, wide):
+        odd = lambda tag: "".join(f', "{tag}{i}_{k}": [{k}]' for k in range(30)) if wide else ""
+        turn = '{"from": "human", "value": [{"type": "text"' + odd("p") + "}, null]" + odd("t") + "}"
+        label = '"odd name": {"score": 1, "raters": [{"writer": "w"' + odd("r") + "}, null]" + odd("l") + "}"
+        items = ['{"images": ["a", null], "conversations": [' + turn + "], \"labels\": {" + label + "}" + odd("i") + "}", '{"image": "p", "conversation": [' + turn + "]" + odd("j") + "}"]
+        return '{"items": [' + ", ".join(items) + "]" + odd("top") + "}"
+
+    raw = lambda wide: spark.createDataFrame([(i, payload(i, wide)) for i in range(10)], "row_id long, payload string")
+    got = Counter(tuple(r) for r in N.payload_children(raw(True)).collect())
+    assert got == Counter(tuple(r) for r in N.payload_children(raw(False)).collect())
+    assert Counter(k[2] for k in got) == {"item": 20, "turn": 20, "image": 30, "part": 40, "label": 10, "rater": 20}
+
+
+def test_maps_are_shredded_below_their_entries(spark):
+    df = spark.range(20).select("id", F.concat(F.lit('{"m": {"kept": [7], "k'), "id", F.lit('": {"a": {"b": [[1], [2, 3]]}, "x'), "id", F.lit('": {"c": [4]}}}}')).alias("payload"))
+    tree = N.infer_schema(df, "payload", max_fields=10, named=("kept", "a"))
+    tables = N.shred(df, "id", F.try_parse_json("payload"), tree)
+    assert {k: t.count() for k, t in tables.items()} == {"m.kept[]": 20, "m{}": 20, "m{}.a.b[]": 40, "m{}.a.b[][]": 60, "m{}{}": 20, "m{}{}.c[]": 20}
+    keys = {r["id"] for t in tables.values() for r in t.collect()}
+    assert all(r["parent"] in keys for k, t in tables.items() if k not in ("m{}", "m.kept[]") for r in t.collect())
+
+
 def test_typed_children(spark):
     t = spark.createDataFrame([(1, ["a", None], None, None), (2, [], "x", [("human", None), None]), (3, None, None, [])], "row_id long, images array<string>, image string, conversations array<struct<role:string,value:string>>")
     got = {tuple(r)[1:5] for r in N.training_children(t).collect()}
