@@ -74,6 +74,9 @@ _SCRIPTS = [(name, regex.compile(p)) for name, p in SCRIPTS]
 _LETTER = regex.compile(r"\p{L}")
 _NAMES = {k: regex.compile(v, regex.I) for k, v in LANGUAGE_NAMES.items()}
 _WORDS_OF = {k: frozenset(v) for k, v in FUNCTION_WORDS.items()}
+#: A letter or number before a choice, and what joins a choice to the next one.
+_MARKER = re.compile(r"(?<!\S)\(?(?:[a-z]|\d{1,2})[.):]\s+")
+_JOINED = re.compile(r"[\s,;/]*(?:(?<=[\s,;/])(?:or|and|oder|und|ou|o|et|y|e))?[\s,;/]*$")
 _CLOSING = tuple(".!?。！？．\"”»」』)）'’")
 _CUT_MARKS = tuple(",;:、，；：-–—‐(（[{\"“«「„…")
 
@@ -134,6 +137,20 @@ def _asked(question: str | None) -> tuple[str, list[str], str, str | None]:
     return q, words, "".join(words), language(q, words)
 
 
+@lru_cache(maxsize=50_000)
+def _options(question: str | None) -> frozenset[str]:
+    """Whole choices of a question: what follows each of at least two letters or numbers, with or without them, and full lines but the first."""
+    lines = [t for t in map(tidy, (question or "").lower().splitlines()) if words_in(t)]
+    out = set(lines[1:])
+    marks = [list(_MARKER.finditer(t)) for t in lines]
+    if sum(map(len, marks)) >= 2:
+        for line, found in zip(lines, marks):
+            for m, end in zip(found, [*(n.start() for n in found[1:]), len(line)]):
+                choice = _JOINED.sub("", line[m.end() : end].split("?")[0])
+                out.update((choice, line[m.start() : m.end()] + choice))
+    return frozenset(out)
+
+
 def ending(text: str) -> str:
     """'closed', 'cut' (breaks off visibly) or 'open' (no closing mark; the corpus must tell)."""
     if text.endswith(("...", "…")) or text.endswith("..") and len(text) > 2:
@@ -171,7 +188,7 @@ def by_rule(question: str | None, answer: str | None) -> tuple[str | None, str,
             name = _NAMES.get(there)
             if not (name and name.search(q)):
                 return "other_language", "closed", a
-    if low in q.lower():  # an option of the question, as it stands there
+    if low in q.lower() and low in _options(question):
         return None, "closed", a
     return None, ending(a), a
 
@@ -313,7 +330,8 @@ def broken_pairs(demos: DataFrame, training: DataFrame) -> DataFrame:
     told = cut(pairs.withColumn("r", rule("q", "a")).select("tab", "row_id", "turn", "r.*"))
     found = told.withColumn("defect", F.coalesce("defect", F.when(F.col("ending") == "cut", "truncated")))
     whole = told.where(F.col("defect").isNull() & (F.col("text") != ""))
-    answers = cut(whole.groupBy("text").agg(F.first("ending").alias("ending")))
+    # 'open' above 'closed': a text that is a choice of one question may break off under another
+    answers = cut(whole.groupBy("text").agg(F.max("ending").alias("ending")))
     broken = truncated_texts(answers, length_limits(whole.select("tab", "text", "ending")), whole)
     rest = found.where(F.col("defect").isNull() & (F.col("ending") == "open")).join(broken, "text", "left_semi")
     return (

@@ -212,6 +212,28 @@ def test_broken_pairs(spark):
     assert pairs.broken_pairs(d.where("row_id < 0"), t.where("row_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "question, answer, want",
+    [
+        ("What does the sign next to the pretzel say?", "The sign next to ", "open"), ("What does the sign next to the pretzel say?", "the pretzel", "open"),
+        ("Choose one.\nA. red goat at dusk\nB. blue cup", "A. red goat", "open"), ("Choose one.\nA. red goat\nB. blue cup", "red goat", "closed"), ("Choose one.\nred goat\nblue cup", "Blue cup", "closed"),
+        ("<image>\nWhich is larger, (A) the red drum or (B) the cactus?", "the red drum", "closed"), ("Which is larger, (A) the red drum or (B) the cactus?", "(B) the cactus", "closed"),
+        ("Which is larger, (A) the red drum or (B) the cactus?", "(A) the red drum or", "open"), ("Which is larger, (A) the red drum or (B) the cactus?", "the red", "open"),
+    ],
+)
+def test_only_whole_options_are_closed(question, answer, want):
+    assert pairs.by_rule(question, answer)[:2] == (None, want)
+
+
+def test_answers_cut_off_within_the_question(spark):
+    cut_off = [f"The {n} stands near the harbor wall along the" for n in ("goat", "lamp", "kettle")]
+    rows = [(10 * k + i, f"Choose one.\nA. {t}\nB. neither", t) for k, t in enumerate(cut_off) for i in range(9)]
+    rows += [(100 + k, "q?", t) for k, t in enumerate(cut_off)] + [(200, "What does the sign next to the pretzel say?", "The sign next to ")]
+    d = spark.createDataFrame(rows, "row_id long, question string, response string")
+    t = spark.createDataFrame([], "row_id long, conversations array<struct<role:string,value:string>>")
+    assert {(r["row_id"], r["defect"]) for r in pairs.broken_pairs(d, t).collect()} == {(i, "truncated") for i in (100, 101, 102, 200)}
+
+
 # ---- p3 --------------------------------------------------------------------------------------------------------------
 
 
