@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, spread
@@ -91,6 +91,7 @@ _FILLER = regex.compile("|".join(f"(?:{p})" for p in TRUSTED_FILLER), regex.I)
 _STRAY = regex.compile(r"^(?:[^\p{L}<\[{$%@«(|_#&]|é(?=[^\p{Ll}]))+|(?:(?<=[.!?\p{Ll}\p{Lu}])(?:[^\p{L}>\]}$%@»)|_;]|(?<=\P{L})é|é(?=é*$)(?<!\w\wé))+)$")
 _ABOUT = regex.compile(ABOUT, regex.I)
 _QUOTED = regex.compile(r"\"([^\"]*)\"|“([^”]*)”|「([^」]*)」")
+_SPOKEN = regex.compile(r"[\"“「][^\"”」]*[\"”」]")
 _TOKEN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]|[\p{L}\p{M}]+|\p{N}+")
 _LETTERS = regex.compile(r"[a-z]+")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
@@ -118,7 +119,8 @@ _SLOT_HINT = regex.compile(r"[{\[<%$@|«&#]|__|goes here", regex.I)
 
 
 def trusted(passage: str) -> int:
-    """Kind of a trusted error or placeholder record, 0 for all other passages."""
+    """Kind of a trusted error or placeholder record, 0 for all other passages; what stands in quotes doesn't count."""
+    passage = _SPOKEN.sub(" ", passage).strip()
     kind, low = 0, passage.lower()
     if any(k in low for k in _PIECES) or len(set(low.split())) <= 3:
         bare = _STRAY.sub("", passage)
@@ -305,8 +307,17 @@ def fit(data: DataFrame, rounds: int = ROUNDS, spies: float = SPY_QUANTILE) -> M
     return Model(first, floor, model)
 
 
+def outside(passage: str) -> str | None:
+    """A longer sentence without what it quotes; None for all other passages."""
+    if not any(len(m) > 2 for m in _SPOKEN.findall(passage)):
+        return None
+    rest = _SPOKEN.sub(" ", passage).strip()
+    return rest if len(_SPOKEN.sub("", passage).split(" ")) >= 5 else None
+
+
 def scored(data: DataFrame, model: Model | NaiveBayes | None, keep: bool = False) -> DataFrame:
-    """passage, score (log odds that it is residue); with ``keep`` the trusted passages stay residue, as in learning."""
+    """passage, score (log odds that it is residue); with ``keep`` the trusted passages stay residue, as in learning, and
+    a longer sentence scores no more than what stands outside its quotes."""
     shared = data.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,16 +327,17 @@ def scored(data: DataFrame, model: Model | NaiveBayes | None, keep: bool = False
             s = np.full(b.num_rows, -np.inf) if m is None else m.score(flat, offsets)
             if keep:
                 s = np.where(b.column(2).to_numpy() > 0, np.maximum(s, 2 * THRESHOLD), s)
+                likely = np.flatnonzero(s > 0)
+                rests = {int(i): r for i, r in zip(likely, map(outside, b.column(0).take(pa.array(likely)).to_pylist())) if r is not None}
+                for i, r in rests.items():
+                    bare = features(r)
+                    out = float(m.score(np.array(bare), np.array([0, len(bare)]))[0])
+                    s[i] = min(s[i], max(out, 2 * THRESHOLD) if trusted(r) else out)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["passage", "score"])
 
     return data.select("passage", "features", "trusted").mapInArrow(run, "passage string, score double")
 
 
-def quotes_only(passage: Column) -> Column:
-    """The passage speaks about such a text: what would make it residue stands in quotes inside a longer sentence."""
-    return passage.rlike(r"[\"“「][^\"”」]+[\"”」]") & (F.size(F.split(F.regexp_replace(passage, r"[\"“「][^\"”」]*[\"”」]", ""), " ")) >= 5)
-
-
 def passage_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents' passages, distinct passages with their score)."""
     parts = passages(spread(docs.select(key, text)), key, text)
@@ -342,5 +354,5 @@ def residue_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     has no case. A passage that only quotes such a text is content.
     """
     parts, scores = passage_scores(docs, key, text)
-    bad = scores.where((F.col("score") > threshold) & ~quotes_only(F.col("passage")))
+    bad = scores.where(F.col("score") > threshold)
     return parts.join(cut(bad), "passage").groupBy(key).agg(F.max("score").alias("score"), F.count("*").alias("passages"))

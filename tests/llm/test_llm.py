@@ -299,6 +299,17 @@ def test_residue(spark):
     assert residue.residue_documents(df.where("doc_id < 1000")).count() == 0
 
 
+def test_residue_outside_quotes(spark):
+    rng = random.Random(7)
+    good = [f"The {rng.choice(['goat', 'tram', 'kettle'])} in frame {i % 7} stands {rng.choice(['near the wall', 'on the deck', 'by a canal'])} at {rng.choice(['noon', 'dusk'])}." for i in range(300)]
+    bad = ["404 Not Found", "Error 503", "A photo of {{ title }} standing."] * 4
+    docs = list(enumerate(good)) + [(1000 + i, b) for i, b in enumerate(bad)]
+    docs += [(2000, 'The sign says "Open" and the {{color}} tram stands in front of it.'), (2001, 'The sign says "The {{color}} tram" and the tram stands in front of it.'), (2002, 'The screen shows "404 Not Found" next to a goat by a canal.')]
+    found = {r["doc_id"] for r in residue.residue_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == {1000 + i for i in range(len(bad))} | {2000}
+    assert residue.trusted('The sign says "Open" and the {{color}} tram stands in front of it.') == residue.SLOT and residue.trusted('"{{color}}"') == 0
+
+
 def test_trusted():
     assert residue.trusted("404 Not Found") == residue.NOTICE and residue.trusted("Sample caption.") == residue.FILLER and residue.trusted("Is {{ object }} larger?") == residue.SLOT
     assert residue.trusted('A label reading "404 Not Found" hangs there.') == 0 and residue.trusted("The goat is not found at noon near the page.") == 0
