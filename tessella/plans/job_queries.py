@@ -164,6 +164,7 @@ def job_mixture(spark, root):
 
 
 def _scratch(spark, name: str) -> str:
+    """A new path in the shared folder."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 

@@ -45,13 +45,21 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder for intermediate tables. One is made up only on a local master (tests, laptops);
+    elsewhere a folder of the driver's machine would be out of the executors' reach, so a missing setting is an error."""
+    configured = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
+    return tempfile.mkdtemp(prefix="tessella-checkpoint-")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; choose one only where none is set (tests, laptops)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tessella-checkpoint-"))
+    """Checkpoints go to ``shared_folder``."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -61,7 +69,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Give a scan of few splits enough partitions for Python work; scans of many splits stay as they are."""
+    """Give a scan of few splits enough partitions for Python work; scans of many splits stay as they are.
+
+    For narrow plans (a scan, filters, projections): of those the number of partitions is known without running them.
+    """
     want = per_core * df.sparkSession.sparkContext.defaultParallelism
-    have = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if have >= want else df.repartition(want)
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)

@@ -1,3 +1,4 @@
+import json
 from collections import Counter
 
 import pytest
@@ -319,6 +320,31 @@ def test_maps_are_shredded_below_their_entries(spark):
     assert all(r["parent"] in keys for k, t in tables.items() if k not in ("m{}", "m.kept[]") for r in t.collect())
 
 
+def _elements(value):
+    """Elements of all arrays at any depth."""
+    if isinstance(value, dict):
+        return sum(map(_elements, value.values()))
+    return len(value) + sum(map(_elements, value)) if isinstance(value, list) else 0
+
+
+@pytest.mark.parametrize(
+    "make, rows, maps",
+    [
+        (lambda i: {"o": {f"k{i}_{k}": [1, 2] for k in range(3)}}, 67, ()),  # 201 names over all rows
+        (lambda i: {"o": {f"k{k}": [1, [2, None]] for k in range(201)}}, 2, ()),
+        (lambda i: {"labels": {"a": {"raters": [{"notes": [{"w": [i]}, None, {"w": []}]}, {"notes": None}]}, "b": [1]}}, 3, ("labels",)),
+        (lambda i: {"m": {f"x{i}": {"a": {"b": [{"c": [[1], [2, 3]]}]}}}}, 250, ()),
+        (lambda i: {f"p{i}_{j}": {f"q{i}_{j}_{k}": [k] for k in range(2)} for j in range(40)}, 260, ()),  # 10,400 parents with names of their own
+        (lambda i: {"w": [{f"n{i}_{j}": {"v": [j]}} for j in range(50)]}, 210, ()),
+    ],
+)
+def test_no_level_is_lost_to_folding(spark, make, rows, maps):
+    made = [make(i) for i in range(rows)]
+    df = spark.createDataFrame([(i, json.dumps(m)) for i, m in enumerate(made)], "id long, payload string")
+    tables = N.shred(df, "id", F.try_parse_json("payload"), N.infer_schema(df, "payload", maps=maps))
+    assert sum(t.count() for k, t in tables.items() if k.endswith("[]")) == sum(map(_elements, made))
+
+
 def test_typed_children(spark):
     t = spark.createDataFrame([(1, ["a", None], None, None), (2, [], "x", [("human", None), None]), (3, None, None, [])], "row_id long, images array<string>, image string, conversations array<struct<role:string,value:string>>")
     got = {tuple(r)[1:5] for r in N.training_children(t).collect()}
