@@ -2,9 +2,12 @@
 
 Lengths are rounded up to a grid of ``GRID`` steps of the source's capacity, so a source has at most ``GRID`` length
 classes however many conversations it holds. The program (cover every class by patterns that fit into a sequence, with
-as few sequences as possible) is solved by multiplicative weights: classes behind their share gain weight, and the next
-pattern is the most valuable one by knapsack dynamic programming. Patterns that fill a sequence are rounded
-down and kept; what they leave is placed largest first in the fullest company. Conversations are then matched to the planned places by their rank in their class.
+as few sequences as possible) is solved by multiplicative weights: every round prices the classes, one knapsack table
+gives for each class the most valuable pattern that holds it, and classes that the near-best patterns cover too much
+lose price, the others gain. The best prices are a proven lower bound. Rounding takes whole sequences of near-best
+patterns under these prices, as far as they fit into what is left of each class, and goes on pricing what is left; so
+every sequence is a pattern priced by the knapsack program. Conversations are then matched to the planned places by
+their rank in their class.
 """
 
 from __future__ import annotations
@@ -19,130 +22,192 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 GRID = 1024
-ROUNDS = 500
-#: Share of its scarcest class that one round gives to a pattern; fill from which a rounded pattern is kept.
-STEP, FULL = 0.25, 0.999
+ROUNDS = 120
+#: Step of the prices; share of the best value a pattern may lack and still be used.
+RATE, SLACK = 0.03, 0.005
+#: Share of its scarcest class that one rounding step gives to a pattern.
+STEP = 0.25
+#: Sizes below this share of the room are handled class by class in the knapsack table, larger ones in blocks.
+SMALL = 1 / 20
 #: Quarter tokens, so that a quarter token a character stays exact.
 UNITS, PICTURE_TOKENS = 4, 576
 
 
-def best_pattern(sizes: np.ndarray, values: np.ndarray, room: int) -> np.ndarray:
-    """Copies of each class in the most valuable pattern of at most ``room`` (unbounded knapsack)."""
-    best, pick = np.zeros(room + 1), np.full(room + 1, -1, np.int64)
-    upto = np.searchsorted(sizes, np.arange(room + 1), side="right")
-    for j in range(1, room + 1):
-        k = upto[j]
-        if k:
-            worth = values[:k] + best[j - sizes[:k]]
-            i = int(worth.argmax())
-            if worth[i] > best[j - 1]:
-                best[j], pick[j] = worth[i], i
-                continue
-        best[j] = best[j - 1]
-    copies, j = np.zeros(len(sizes), np.int64), room
-    while j > 0:
-        i = pick[j]
-        if i < 0:
-            j -= 1
-        else:
-            copies[i] += 1
-            j -= sizes[i]
-    return copies
-
-
-def _topped_up(pattern: np.ndarray, left: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
-    """No more copies than there are; freed room is filled, largest first."""
-    pattern = np.minimum(pattern, left)
-    free = room - int((pattern * sizes).sum())
-    while True:
-        fits = np.flatnonzero((sizes <= free) & (left > pattern))
-        if not len(fits):
-            return pattern
-        i = fits[-1]
-        n = min(int(left[i] - pattern[i]), free // int(sizes[i]))
-        pattern[i] += n
-        free -= n * int(sizes[i])
+class Knapsack:
+    """Most valuable patterns (any number of copies of each class) for every room up to ``room``; ``sizes`` ascending.
 
+    Small classes extend the table one after another by running maxima over the remainders of their size. Of the larger
+    ones all cells in a block as long as the smallest of them depend only on earlier blocks, so a block is one operation.
+    """
 
-def fullest_pattern(sizes: np.ndarray, left: np.ndarray, room: int) -> np.ndarray:
-    """Copies, at most ``left``, whose sum is the largest that fits: bounded subset sums as one long bit row."""
-    reach, mask, steps = 1, (1 << (room + 1)) - 1, []
+    def __init__(self, sizes: np.ndarray, room: int):
+        self.sizes, self.room = sizes, room
+        self.small = int(np.searchsorted(sizes, max(1, int(room * SMALL))))
+        large = sizes[self.small :]
+        self.blocks = []
+        width = int(large[0]) if len(large) else room + 1
+        for a in range(width, room + 1, width):
+            cells = np.arange(a, min(a + width, room + 1))
+            k = int(np.searchsorted(large, cells[-1], side="right"))
+            at = cells[:, None] - large[None, :k]
+            at[at < 0] = room + 1  # a cell of no worth
+            self.blocks.append((a, cells[-1] + 1, k, at))
+
+    def solve(self, values: np.ndarray) -> float:
+        room = self.room
+        best, self.before = np.zeros(room + 2), []
+        for w, v in zip(self.sizes[: self.small].tolist(), values[: self.small]):
+            self.before.append(best.copy())
+            steps = -(-(room + 1) // w)
+            table = np.full(steps * w, -np.inf)
+            table[: room + 1] = best[: room + 1]
+            gain = np.arange(steps)[:, None] * v
+            best[: room + 1] = (np.maximum.accumulate(table.reshape(steps, w) - gain, axis=0) + gain).reshape(-1)[: room + 1]
+        self.base = best.copy()
+        best[room + 1] = -np.inf
+        self.pick, source = np.full(room + 1, -1, np.int64), np.arange(room + 1)
+        for a, b, k, at in self.blocks:
+            worth = best[at]
+            worth += values[self.small : self.small + k]
+            choice = worth.argmax(axis=1)
+            worth = worth[np.arange(b - a), choice]
+            better = worth > best[a:b] * (1 + 1e-12)
+            self.pick[a:b] = np.where(better, choice, -1)
+            own = np.where(better, worth, best[a:b])
+            best[a:b] = np.maximum.accumulate(np.r_[best[a - 1], own])[1:]
+            source[a:b][best[a:b] > own] = 0  # carries the pattern of a smaller room
+        self.source = np.maximum.accumulate(source)
+        self.best = best
+        return float(best[room])
+
+    def patterns(self, first: np.ndarray) -> np.ndarray:
+        """The most valuable pattern that holds each of the given classes, one a row."""
+        out = np.zeros((len(first), len(self.sizes)), np.int64)
+        rows, room = np.arange(len(first)), self.room - self.sizes[first]
+        out[rows, first] = 1
+        while len(rows):
+            at = self.source[room]
+            pick = self.pick[at]
+            large = pick >= 0
+            for r, j in zip(rows[~large], at[~large]):
+                self._small(out[r], int(j))
+            rows, i = rows[large], pick[large] + self.small
+            out[rows, i] += 1
+            room = at[large] - self.sizes[i]
+        return out
+
+    def _small(self, row: np.ndarray, j: int) -> None:
+        after = self.base
+        for i in range(self.small - 1, -1, -1):
+            before, w = self.before[i], int(self.sizes[i])
+            while j >= w and after[j] > before[j] * (1 + 1e-12):
+                row[i] += 1
+                j -= w
+            after = before
+
+
+def within(sizes: np.ndarray, values: np.ndarray, left: np.ndarray, room: int) -> np.ndarray:
+    """The most valuable pattern of at most ``left`` copies of each class (copies by powers of two, one after another)."""
+    best, steps = np.zeros(room + 1), []
     for i in range(len(sizes) - 1, -1, -1):
         rest, k = min(int(left[i]), room // int(sizes[i])), 1
         while rest > 0:
             take = min(k, rest)
-            steps.append((reach, i, take))
-            reach |= reach << take * int(sizes[i]) & mask
+            w = take * int(sizes[i])
+            worth = best[: room + 1 - w] + take * values[i]
+            better = worth > best[w:]
+            best[w:][better] = worth[better]
+            steps.append((i, take, w, better))
             rest, k = rest - take, 2 * k
-        if reach >> room & 1:
-            break
-    copies, j = np.zeros(len(sizes), np.int64), reach.bit_length() - 1
-    for before, i, take in reversed(steps):
-        if not before >> j & 1:
+    copies, j = np.zeros(len(sizes), np.int64), int(best.argmax())
+    for i, take, w, better in reversed(steps):
+        if j >= w and better[j - w]:
             copies[i] += take
-            j -= take * int(sizes[i])
+            j -= w
     return copies
 
 
-def solve(sizes: np.ndarray, counts: np.ndarray, room: int, rounds: int) -> tuple[list[tuple[np.ndarray, float]], float]:
-    """Fractional covering of the histogram by patterns through multiplicative weights, and a lower bound (the dual).
+def prices(sizes: np.ndarray, counts: np.ndarray, room: int, rounds: int = ROUNDS) -> tuple[np.ndarray, float]:
+    """Prices of the classes under which no pattern is worth more than 1, and the bound they prove: all counts' worth.
 
-    A round prices every class by its weight, takes the best pattern and uses it as often as ``STEP`` of its scarcest
-    class allows; the weights of the classes it covers fall accordingly.
+    Multiplicative weights start at the best of the simple prices that count sizes above ``room - k`` as whole sequences
+    and those below ``k`` as nothing. A round covers the histogram with the near-best patterns, one for each class,
+    and lowers the prices of classes covered more than the rest.
     """
     n = counts.astype(float)
-    area = float((sizes * n).sum()) / room
-    weight, used, bound = np.zeros(len(sizes)), 0.0, area
-    found: dict[bytes, list] = {}
-    for _ in range(rounds):
-        if used >= area:
-            break
-        w = np.exp(weight - weight.max())
-        pattern = best_pattern(sizes, w / n, room)
-        bound = max(bound, float(w.sum() / (w / n * pattern).sum()))
-        pattern = _topped_up(pattern, counts, sizes, room)
-        inside = pattern > 0
-        times = max(STEP * float((n[inside] / pattern[inside]).min()), area / rounds)
-        found.setdefault(pattern.tobytes(), [pattern, 0.0])[1] += times
-        used += times
-        weight -= 4 * times * pattern / n
-    return [(p, x) for p, x in found.values()], bound
-
-
-def plan(sizes: np.ndarray, counts: np.ndarray, room: int = GRID, rounds: int = ROUNDS) -> tuple[list[tuple[np.ndarray, int]], float]:
-    """([(copies of each class, number of sequences)], lower bound on the sequences).
-
-    ``sizes`` ascending; every class is covered exactly. Of the fractional solution the patterns that fill a sequence
-    are kept, rounded down; what they leave is placed largest first, each time with the fullest company.
+    simple = [sizes / room] + [np.where(sizes > room - k, 1.0, np.where(sizes >= k, sizes / room, 0.0)) for k in np.unique(np.minimum(sizes, room - sizes))]
+    best = max(simple, key=lambda y: float((y * n).sum()))
+    bound = float((best * n).sum())
+    weight = np.log(0.9 * best + 0.1 * sizes / room)
+    table = Knapsack(sizes, room)
+    for t in range(rounds):
+        y = np.exp(weight)
+        top = table.solve(y)
+        if (y * n).sum() / top > bound:
+            bound, best = float((y * n).sum() / top), y / top
+        found = table.patterns(np.flatnonzero(y + table.best[room - sizes] >= (1 - 2 * SLACK) * top))
+        times = np.where(found > 0, n / np.maximum(found, 1), np.inf).min(axis=1)
+        cover = times @ found / n
+        cover *= (y * n).sum() / (cover * y * n).sum()
+        weight -= RATE / (1 + 0.02 * t) * np.clip(cover - 1, -1, 2)
+    return best, bound
+
+
+def plan(sizes: np.ndarray, counts: np.ndarray, room: int = GRID, rounds: int = ROUNDS) -> tuple[list[tuple[np.ndarray, int]], float, int]:
+    """([(copies of each class, number of sequences)], lower bound, sequences whose pattern was cut to what was left).
+
+    ``sizes`` ascending; every class is covered exactly. Classes that lag behind gain price as long as rounding goes on.
+    Where no near-best pattern fits into what is left any more, the largest class left gets the most valuable company
+    that does.
     """
     counts = counts.astype(np.int64)
-    left = counts.copy()
-    patterns: list[tuple[np.ndarray, int]] = []
-    solution, bound = solve(sizes, counts, room, rounds)
-    for pattern, x in sorted(solution, key=lambda s: -int((s[0] * sizes).sum())):
-        inside = pattern > 0
-        n = min(int(x), int((left[inside] // pattern[inside]).min()))
-        if n > 0 and (pattern * sizes).sum() >= FULL * room:
-            patterns.append((pattern, n))
-            left -= n * pattern
+    left, n = counts.copy(), counts.astype(float)
+    y, bound = prices(sizes, counts, room, rounds)
+    base = y + (sizes / room) ** 1.1  # of equal worth, the pattern of the larger sizes goes first
+    plan_: dict[bytes, list] = {}
+    cut_ = 0
+
+    def use(at: np.ndarray, pattern: np.ndarray, times: int) -> None:
+        whole = np.zeros(len(sizes), np.int64)
+        whole[at] = pattern
+        plan_.setdefault(whole.tobytes(), [whole, 0])[1] += times
+
     while left.any():
-        largest = int(np.flatnonzero(left)[-1])
-        left[largest] -= 1
-        pattern = fullest_pattern(sizes, left, room - int(sizes[largest]))
-        left[largest] += 1
-        pattern[largest] += 1
-        inside = pattern > 0
-        n = int((left[inside] // pattern[inside]).min())
-        patterns.append((pattern, n))
-        left -= n * pattern
-    return patterns, bound
+        at = np.flatnonzero(left)
+        s, rest = sizes[at], left[at]
+        lag = rest / n[at] - (left * sizes).sum() / (n * sizes).sum()
+        value = base[at] * np.exp(0.05 * lag)
+        table = Knapsack(s, room)
+        top = table.solve(value)
+        near = np.flatnonzero(value + table.best[room - s] >= (1 - SLACK) * top)[::-1]
+        took = False
+        for pattern in table.patterns(near):
+            inside = pattern > 0
+            most = int((rest[inside] // pattern[inside]).min())
+            if most:
+                times = max(1, int(STEP * most))
+                rest = rest - times * pattern
+                use(at, pattern, times)
+                took = True
+        if not took:
+            rest[-1] -= 1
+            pattern = within(s, value, rest, room - int(s[-1]))
+            rest[-1] += 1
+            pattern[-1] += 1
+            inside = pattern > 0
+            times = max(1, int((rest[inside] // pattern[inside]).min()) // 2)
+            rest = rest - times * pattern
+            use(at, pattern, times)
+            cut_ += times
+        left[at] = rest
+    return [(p, k) for p, k in plan_.values()], bound, cut_
 
 
 def _placements(hist: pd.DataFrame) -> pd.DataFrame:
     """Plan of one source as places: of class ``g``, ranks [start, stop) lie ``copies`` to a sequence from ``base`` on."""
     hist = hist.sort_values("g")
     sizes, counts = hist["g"].to_numpy(np.int64), hist["n"].to_numpy(np.int64)
-    patterns, bound = plan(sizes, counts)
+    patterns, bound, cut_ = plan(sizes, counts)
     rows, base, used = [], 0, np.zeros(len(sizes), np.int64)
     for pattern, n in patterns:
         for i in np.flatnonzero(pattern):
@@ -152,11 +217,11 @@ def _placements(hist: pd.DataFrame) -> pd.DataFrame:
         base += n
     out = pd.DataFrame(rows, columns=["g", "start", "stop", "base", "copies"])
     out.insert(0, "source", hist["source"].iloc[0])
-    out["planned"], out["bound"] = base, math.ceil(bound - 1e-9)
+    out["planned"], out["bound"], out["cut"] = base, math.ceil(bound - 1e-6), cut_
     return out
 
 
-_PLAN = "source string, g long, start long, stop long, base long, copies long, planned long, bound long"
+_PLAN = "source string, g long, start long, stop long, base long, copies long, planned long, bound long, cut long"
 
 
 def conversation_units(training: DataFrame) -> DataFrame:
@@ -181,7 +246,12 @@ def pieces(training: DataFrame, config: DataFrame) -> DataFrame:
 
 
 def packed(training: DataFrame, config: DataFrame, salts: int = 64) -> DataFrame:
-    """row_id, piece, source, tokens, capacity, sequence: which conversation lies in which sequence.
+    """Which conversation lies in which sequence (see ``_packed``)."""
+    return _packed(training, config, salts)[0]
+
+
+def _packed(training: DataFrame, config: DataFrame, salts: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(row_id, piece, source, tokens, capacity, sequence; the sources' plans).
 
     Every conversation comes out, whole in one sequence unless it exceeds its source's capacity; then it is cut into
     full sequences and a rest. Sequences are numbered within their source; full pieces have sequences of their own. A
@@ -201,19 +271,24 @@ def packed(training: DataFrame, config: DataFrame, salts: int = 64) -> DataFrame
     places = cut(hist.repartition(width, "source").groupBy("source").applyInPandas(_placements, _PLAN))
     # ranks within a class: counted per salt, so that no class, however hot, lies in one task
     ranked = open_.join(sub.drop("n"), ["source", "g", "salt"]).withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("source", "g", "salt").orderBy("row_id", "piece")) - 1)
-    at = ranked.join(places.drop("planned", "bound"), ["source", "g"]).where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("stop")))
+    at = ranked.join(places.drop("planned", "bound", "cut"), ["source", "g"]).where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("stop")))
     number = F.col("base") + F.floor((F.col("rank") - F.col("start")) / F.col("copies"))
     columns = ["row_id", "piece", "source", (F.col("units") / UNITS).alias("tokens"), (F.col("room") / UNITS).cast("long").alias("capacity")]
     placed = at.select(*columns, F.concat_ws("/", "source", number.cast("string")).alias("sequence"))
     alone = rows.where("full").select(*columns, F.concat_ws("/", F.col("source"), F.lit("full"), "row_id", "piece").alias("sequence"))
     unplaced = rows.where("room is null").select(*columns, F.lit(None).cast("string").alias("sequence"))
-    return placed.unionByName(alone).unionByName(unplaced)
+    plans = places.groupBy("source").agg(F.first("planned").alias("planned"), F.first("bound").alias("bound"), F.first("cut").alias("cut"))
+    return placed.unionByName(alone).unionByName(unplaced), plans
 
 
 def fill_report(training: DataFrame, config: DataFrame) -> DataFrame:
-    """Per source: pieces, sequences, least number of sequences by volume, share of room used."""
-    p = packed(training, config).where(F.col("sequence").isNotNull())
+    """Per source: pieces, sequences, least number of sequences by volume, share of room used; of the sequences planned
+    on the grid (full pieces apart) their number, the program's lower bound, and how many hold a pattern that was cut to
+    what was left (``cut``). Sources with full pieces only have nulls there."""
+    p, plans = _packed(training, config)
+    p = p.where(F.col("sequence").isNotNull())
     per = p.groupBy("source", "sequence").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"), F.max("capacity").alias("capacity"))
-    return per.groupBy("source").agg(
+    report = per.groupBy("source").agg(
         F.sum("pieces").alias("pieces"), F.count("*").alias("sequences"), F.ceil(F.sum("tokens") / F.max("capacity")).alias("least"), (F.sum("tokens") / F.sum("capacity")).alias("used")
     )
+    return report.join(plans, "source", "left")

@@ -241,7 +241,7 @@ def test_answers_cut_off_within_the_question(spark):
 @given(st.dictionaries(st.integers(1, 200), st.integers(1, 40), min_size=1, max_size=25))
 def test_plan_covers_all_and_fits(hist):
     sizes, counts = np.array(sorted(hist)), np.array([hist[k] for k in sorted(hist)])
-    patterns, bound = binpack.plan(sizes, counts, room=200, rounds=40)
+    patterns, bound, _ = binpack.plan(sizes, counts, room=200, rounds=40)
     assert (sum(p * n for p, n in patterns) == counts).all()
     assert all((p * sizes).sum() <= 200 for p, _ in patterns)
     used = sum(n for _, n in patterns)
@@ -257,10 +257,39 @@ def test_plan_covers_all_and_fits(hist):
     assert used <= len(free) * 1.05 + 1
 
 
-def test_fullest_pattern():
-    sizes, left = np.array([3, 5, 7]), np.array([1, 2, 1])
-    assert (binpack.fullest_pattern(sizes, left, 16) * sizes).sum() == 15
-    assert (binpack.fullest_pattern(sizes, left, 2) * sizes).sum() == 0
+@settings(max_examples=40, deadline=None)
+@given(st.sets(st.integers(1, 60), min_size=1, max_size=12), st.randoms())
+def test_knapsack_table(sizes, rng):
+    sizes = np.array(sorted(sizes))
+    values = np.array([rng.random() * s for s in sizes])
+    room = 60
+    table = binpack.Knapsack(sizes, room)
+    table.solve(values)
+    best = [0.0] * (room + 1)
+    for j in range(1, room + 1):
+        best[j] = max([best[j - 1]] + [best[j - s] + v for s, v in zip(sizes, values) if s <= j])
+    assert np.allclose(table.best[: room + 1], best)
+    for i, p in enumerate(table.patterns(np.arange(len(sizes)))):
+        assert p[i] >= 1 and (p * sizes).sum() <= room and np.isclose((p * values).sum(), values[i] + best[room - sizes[i]])
+    left = np.array([rng.randint(0, 3) for _ in sizes])
+    many = binpack.within(sizes, values, left, room)
+    want = np.zeros(room + 1)
+    for s, v, n in zip(sizes, values, left):
+        for _ in range(n):
+            want[s:] = np.maximum(want[s:], want[: room + 1 - s] + v)
+    assert (many <= left).all() and (many * sizes).sum() <= room and np.isclose((many * values).sum(), want.max())
+
+
+@pytest.mark.parametrize("kind", ["thirds", "halves", "many", "mixed"])
+def test_program_places_the_sequences(kind):
+    """On large counts nearly all sequences are whole patterns of the program, and their number is close to its bound."""
+    rng = np.random.default_rng(4)
+    lengths = {"thirds": rng.integers(150, 600, 900), "halves": rng.normal(430, 150, 900).clip(1, 1024), "many": rng.integers(1, 250, 2000), "mixed": np.r_[rng.integers(1, 40, 300), rng.integers(300, 900, 500)]}[kind]
+    sizes, counts = np.unique(lengths.astype(int), return_counts=True)
+    patterns, bound, cut_ = binpack.plan(sizes, counts * 100)
+    used = sum(n for _, n in patterns)
+    assert (sum(p * n for p, n in patterns) == counts * 100).all()
+    assert cut_ <= 0.2 * used and used <= 1.02 * bound
 
 
 def test_packed(spark):
