@@ -17,6 +17,11 @@ def p1_per_split_source(spark, root):
     return overlap.overlap_report(table(spark, root, "seed_demos"))
 
 
+def p1_routes(spark, root):
+    """How many pairs are equal texts and how many come through the similarity codes."""
+    return overlap.route_report(table(spark, root, "seed_demos"))
+
+
 def p2_found(spark, root):
     return pairs.broken_pairs(table(spark, root, "seed_demos"), table(spark, root, "training_example"))
 
@@ -52,7 +57,7 @@ def p7_passages(spark, root):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_per_split_source, p2_found, p3_packed, p3_fill, p5_ids, p6_found, p6_removal_spans, p7_found, p7_passages)}
+    return {f.__name__: f for f in (p1_found, p1_per_split_source, p1_routes, p2_found, p3_packed, p3_fill, p5_ids, p6_found, p6_removal_spans, p7_found, p7_passages)}
 
 
 def oracle_sql():

@@ -168,14 +168,50 @@ def test_overlap_numbers_and_empty(spark):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.integers(0, 2**64 - 1), st.sets(st.integers(0, 63), max_size=overlap.RADIUS))
-def test_block_pairs_reach_the_radius(code, flips):
-    other = code
-    for f in flips:
-        other ^= 1 << f
-    masks = [m & (2**64 - 1) for m in overlap._block_masks(overlap.BLOCKS)]
-    assert sum(masks) == 2**64 - 1
-    assert sum((code & m) == (other & m) for m in masks) >= 2
+@given(st.sets(st.integers(0, 63), max_size=overlap.RADIUS))
+def test_some_two_blocks_of_a_group_stay_equal(flips):
+    hit = {f // (64 // overlap.BLOCKS) for f in flips}
+    assert any(len(set(group) - hit) >= 2 for group in overlap.BLOCK_GROUPS)
+    assert sorted(b for group in overlap.BLOCK_GROUPS for b in group) == list(range(overlap.BLOCKS))
+
+
+def _slip_in(word, rng):
+    kind, i = rng.randrange(3), rng.randrange(len(word) - 1)
+    return word[:i] + (word[i + 1 :] if kind == 0 else word[i] + word[i:] if kind == 1 else word[i + 1] + word[i] + word[i + 2 :])
+
+
+def test_codes_and_comparison_find_planted_slips(spark):
+    """Many statements about one pair of pictures, so that the blocks are used; each recurs with one or two slips."""
+    rng = random.Random(11)
+    things = "kettle lantern pretzel gondola trolley hammock bicycle windmill teapot armchair pumpkin violin toolbox backpack walrus llama".split()
+    places = ["beside a quiet canal", "on the lower shelf", "between two parked vans", "near a brick chimney", "along the foggy road", "under a striped awning", "behind the glass door"]
+    colors = "purple crimson golden silver orange yellow turquoise".split()
+    texts = [f"A {c} {t} stands {p} in the {s} image" for c in colors for t in things for p in places for s in ("left", "right")]
+    rng.shuffle(texts)
+    texts = texts[:600]
+    rows, want = [], set()
+    for i, text in enumerate(texts):
+        words = text.split()
+        for at in rng.sample([j for j, w in enumerate(words) if len(w) >= 5 and w not in ("image", "right")], 1 + i % 2):
+            words[at] = _slip_in(words[at], rng)
+        rows += [(2 * i, "train-1", text, "http://h/a", "http://h/b", "s"), (2 * i + 1, "dev-1", " ".join(words), "http://h/a", "http://h/b", "s")]
+        want.add((2 * i, 2 * i + 1))
+    df = spark.createDataFrame(rows, "row_id long, identifier string, sentence string, left_url string, right_url string, source string")
+    got = {(r["train_id"], r["held_id"]) for r in overlap.cross_split_pairs(df).collect()}
+    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.01 * len(want)
+    routes = {r["route"]: r["pairs"] for r in overlap.route_report(df).collect()}
+    assert routes["code"] + routes.get("equal", 0) == len(got)
+
+
+@pytest.mark.parametrize(
+    "a, b, same",
+    [
+        ("no barel here", "no barrel here", True), ("3 goats", "3 boats", False), ("the sled here", "the shed here", False), ("a castle stands", "a cattle stands", False),
+        ("fro sidea", "from sidea", True), ("red cup", "redcup", True), ("chiney", "chimnney", True), ("4 cups", "5 cups", False), ("sidea cup", "sideb cup", False), ("", "", True),
+    ],
+)
+def test_same_statement(a, b, same):
+    assert overlap.same_statement(a, b) is same
 
 
 # ---- p2 --------------------------------------------------------------------------------------------------------------
