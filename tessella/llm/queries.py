@@ -52,8 +52,7 @@ def p7_found(spark, root):
 
 def p7_passages(spark, root):
     """Distinct passages taken for residue, with their score."""
-    _, scores = residue.passage_scores(table(spark, root, "documents"))
-    return scores.where(F.col("score") > residue.THRESHOLD)
+    return residue.passage_scores(table(spark, root, "documents"))[1]
 
 
 def queries():

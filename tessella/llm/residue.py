@@ -1,8 +1,9 @@
 """Template residue, filler, error pages and script notices: positive-unlabelled naive Bayes by expectation-maximization.
 
-Passages (sentences and lines) that match a list of trusted error and placeholder records are the positives, all others
+Passages (sentences and lines) that match a list of trusted error and placeholder records are labelled, all others
 are unlabelled. Each round scores every distinct passage of the corpus and counts features anew with the passages'
-probabilities as weights, over all passages and in parallel; the model has a fixed number of hashed features.
+probabilities as weights, over all passages and in parallel; the model has a fixed number of hashed features. The list
+serves for labels only: what comes out is decided by the model's score and a cut told by hidden trusted records.
 """
 
 from __future__ import annotations
@@ -16,18 +17,21 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, spread
+from ..session import cut, spread, written
 
 BUCKETS = 1 << 20
-ROUNDS = 4
+ROUNDS = 2
 SMOOTH = 5.0
+#: Log odds of one feature count at most this much, so that no single word decides.
+CLIP = 8.0
 #: Weight of an unlabelled passage's probability beside a trusted one.
 DAMP = 0.1
-#: Log odds from which a passage is residue. Words and their pairs overlap, so the odds of naive Bayes are inflated: on
-#: small corpora ordinary short passages reach 15, notices outside the trusted list 20 and more.
-THRESHOLD = 16.0
-#: Share of the spies that may score below the floor under which a passage is surely content.
-SPY_QUANTILE = 0.15
+#: Of the trusted records one in so many is a spy: left unlabelled, it tells where the cut must lie.
+SPIES = 5
+#: Share of the best value of the criterion that the cut may give away to find more.
+TOLERANCE = 0.95
+#: Share of the spies above 0 that stay above any cut; few spies tell little about the criterion.
+KEPT = 0.9
 
 # ---- Fixed values: forms of unfilled slots, and trusted records -----------------------------------------------------
 SLOTS = [
@@ -79,16 +83,18 @@ TRUSTED_FILLER = [
 ]
 #: Slot forms that stand for nothing else; the other forms also occur as notation and get their weight by learning.
 TRUSTED_SLOTS = ("double_curly", "hash_curly", "comment", "dollar_curly", "curly_percent", "angle_percent", "percent_paren", "ats", "double_square", "double_angle", "square_order", "goes_here", "underscores", "named", "escaped_angle", "dollars", "percents", "bars")
-#: Said about a slot or notice, not in place of content.
-ABOUT = r"\b(?:says the (?:tutorial|manual)|written as|is replaced|stands for|notation|blackboard|chalkboard|poster|screenshot|slide|caption about|annotator|printf|label reading|the word|record field|remark field|run time)\b|[\"“”「]"
+#: Words about words: what holds them may speak of a slot or notice, so it is no trusted record (the model decides).
+ABOUT = r"\b(?:says?|said|reads?|written as|typed|prints?|means?|explains|is replaced|stands? for|notation|syntax|called|labell?ed|the words?|tutorial|manual|screenshot|example|field)\b|[\"“”「]"
 # --------------------------------------------------------------------------------------------------------------------
 
 _SLOTS = [(n, regex.compile(p, 0 if n == "named" else regex.I)) for n, p in SLOTS]
 _ANY_SLOT = regex.compile("|".join(p for _, p in SLOTS), regex.I)
 _NOTICE = regex.compile("|".join(f"(?:{p})" for p in TRUSTED_NOTICES), regex.I)
 _FILLER = regex.compile("|".join(f"(?:{p})" for p in TRUSTED_FILLER), regex.I)
-# stray characters at both ends: marks, digits, accents without a word
-_STRAY = regex.compile(r"^(?:[^\p{L}<\[{$%@«(|_#&]|é(?=[^\p{Ll}]))+|(?:(?<=[.!?\p{Ll}\p{Lu}])(?:[^\p{L}>\]}$%@»)|_;]|(?<=\P{L})é|é(?=é*$)(?<!\w\wé))+)$")
+# stray characters at both ends
+_STRAY = regex.compile(r"^[^\p{L}\p{N}<\[{$%@«(|_#&]+|[^\p{L}\p{N}>\]}$%@»)|_;.!?。！？]+$")
+# where a capital follows a small letter, something was glued together
+_GLUED = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})")
 _ABOUT = regex.compile(ABOUT, regex.I)
 _QUOTED = regex.compile(r"\"([^\"]*)\"|“([^”]*)”|「([^」]*)」")
 _SPOKEN = regex.compile(r"[\"“「][^\"”」]*[\"”」]")
@@ -104,6 +110,7 @@ def tidy(passage: str) -> str:
 
 SLOT, NOTICE, FILLER = 1, 2, 3
 KINDS = 3
+_IS_SLOT = zlib.crc32(b"slot") % BUCKETS
 
 
 #: Pieces of which every trusted notice or filler holds one (but for repeated words); they spare most passages the patterns.
@@ -148,9 +155,10 @@ def features(passage: str) -> list[int]:
             out.add("quote")
             out.update("quoted " + w for w in _TOKEN.findall(m.group().lower()))
         rest = _QUOTED.sub(" ", rest)
-    words = _TOKEN.findall(rest.lower())
+    words = _TOKEN.findall(_GLUED.sub(" ", rest).lower())
     # a single character of a script without spaces says little; there only pairs count
     out.update(w for w in words if not (len(w) == 1 and _UNSPACED.match(w)))
+    out.update("stem " + w[:5] for w in words if len(w) > 5)
     out.update(a + " " + b for a, b in zip(["^", *words], [*words, "$"]))
     out.add(f"size {min(len(words), 12) // 2}")
     if rest.isupper() and sum(c.isalpha() for c in rest) > 3:
@@ -160,64 +168,63 @@ def features(passage: str) -> list[int]:
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, passage): lines and sentences, tidied; those without words left out."""
-    # signatures of servers stand apart from what they sign
-    apart = F.regexp_replace(F.col(text), r"(nginx/[\d.]*\d|(?:Request id|Reference code):? [0-9a-f]{6,})", "\n$1\n")
-    split = F.split(apart, r"[\r\n]+|(?<=[.!?])\s+|(?<=[.!?][)\"”»])\s+(?=[\p{Lu}\p{Lo}\p{N}<\[{$%_@«|#(])|(?<=: \d)\s+(?=\p{Lu})|(?<=[。！？])")
+    split = F.split(F.col(text), r"[\r\n]+|(?<=[.!?])\s+|(?<=[.!?][)\"”»])\s+(?=[\p{Lu}\p{Lo}\p{N}<\[{$%_@«|#(])|(?<=: \d)\s+(?=\p{Lu})|(?<=[。！？])")
     p = F.regexp_replace(F.regexp_replace("passage", "[\\u200b-\\u200f\\u2060\\ufeff\\u00ad]|<image>", " "), r"[\s\p{Z}]+", " ")
-    worded = (F.length(F.regexp_replace("passage", r"[^\p{L}]", "")) >= 3) | F.col("passage").rlike(r"[<\[{$%@«|#_].*\p{L}")
+    worded = F.col("passage").rlike(r"\p{L}.*\p{L}.*\p{L}|[<\[{$%@«|#_].*\p{L}")
     return docs.select(F.col(key), F.explode(split).alias("passage")).withColumn("passage", F.trim(p)).where(worded)
 
 
-def featurised(distinct: DataFrame) -> DataFrame:
-    """passage, trusted (kind), spy (a seventh of the trusted), features (list of ints)."""
+def featurised(distinct: DataFrame, label=trusted) -> DataFrame:
+    """passage, trusted (kind, by ``label``), spy, weight (log of occurrences), features (list of ints)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(0).to_pylist()
-            sure = [trusted(t) for t in texts]
-            spy = [s > 0 and zlib.crc32(t.encode()) % 7 == 0 for s, t in zip(sure, texts)]
+            sure = [label(t) for t in texts]
+            spy = [s > 0 and zlib.crc32(t.encode()) % SPIES == 0 for s, t in zip(sure, texts)]
+            weight = np.log2(1.0 + b.column(1).to_numpy())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sure, pa.int32()), pa.array(spy, pa.bool_()), pa.array([features(t) for t in texts], pa.list_(pa.int32()))],
-                names=["passage", "trusted", "spy", "features"],
+                [b.column(0), pa.array(sure, pa.int32()), pa.array(spy, pa.bool_()), pa.array(weight), pa.array([features(t) for t in texts], pa.list_(pa.int32()))],
+                names=["passage", "trusted", "spy", "weight", "features"],
             )
 
-    return distinct.select("passage").mapInArrow(run, "passage string, trusted int, spy boolean, features array<int>")
+    return distinct.select("passage", "n").mapInArrow(run, "passage string, trusted int, spy boolean, weight double, features array<int>")
 
 
 class NaiveBayes:
     """Log odds of each kind of residue against content, by feature and beforehand.
 
     ``counts`` has a row for content and one for each kind, the last column being the passages themselves. Rates are
-    drawn to the feature's rate over all passages, so that a feature rare everywhere says little; one that fewer than
-    three passages have says nothing.
+    drawn to the feature's rate over all passages, so that a feature rare everywhere says little. Features outside
+    ``at`` occur in no passage that may be residue; for all of them the same odds, ``other``, speak for content.
     """
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, at: np.ndarray, counts: np.ndarray):
         n = counts[:, -1]
         total = counts[:, :-1].sum(axis=0)
         rate = total / max(n.sum(), 1.0)
         log = [np.log((c + SMOOTH * rate + 1e-12) / (m + SMOOTH)) for c, m in zip(counts[:, :-1], n)]
-        self.odds = [np.where((total >= 3) & (m > 0), x - log[0], 0.0) for x, m in zip(log[1:], n[1:])]
+        self.at = at.astype(np.int32)
+        self.values = np.array([np.clip(np.where(total > 0, x - log[0], 0.0), -CLIP, CLIP) if m > 0 else np.zeros(len(at)) for x, m in zip(log[1:], n[1:])], np.float32)
+        self.other = [float(np.clip(np.log(SMOOTH / (m + SMOOTH)), -CLIP, 0.0)) for m in n[1:]]
         self.prior = [float(np.log(m / max(n[0], 1.0))) if m > 0 else -np.inf for m in n[1:]]
+        self.odds: list[np.ndarray] | None = None
 
     def __getstate__(self) -> dict:
-        # sent as its non-zero features only
-        dense = np.array(self.odds, np.float32)
-        at = np.flatnonzero(dense.any(axis=0))
-        return {"prior": self.prior, "at": at.astype(np.int32), "odds": dense[:, at]}
-
-    def __setstate__(self, state: dict) -> None:
-        self.prior = state["prior"]
-        dense = np.zeros((len(self.prior), BUCKETS), np.float32)
-        dense[:, state["at"]] = state["odds"]
-        self.odds = list(dense)
+        return {**self.__dict__, "odds": None}
 
     def kinds(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Log odds of every passage (columns) for each kind (rows), from its flat features."""
+        """Log odds of every passage (columns) for each kind (rows), from its flat features; without a slot none is one."""
+        if self.odds is None:
+            self.odds = [np.full(BUCKETS, o, np.float32) for o in self.other]
+            for dense, values in zip(self.odds, self.values):
+                dense[self.at] = values
         rows = []
         for prior, odds in zip(self.prior, self.odds):
             ends = np.r_[0.0, np.cumsum(odds[flat], dtype=float)]
             rows.append(prior + ends[offsets[1:]] - ends[offsets[:-1]])
+        slots = np.r_[0, np.cumsum(flat == _IS_SLOT)]
+        rows[SLOT - 1] = np.where(slots[offsets[1:]] > slots[offsets[:-1]], rows[SLOT - 1], -np.inf)
         return np.array(rows)
 
     def score(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -230,81 +237,83 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy()[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-class Model:
-    """The final naive Bayes, and the first one with the score under which a passage is surely content."""
+def _one_hot(kind: np.ndarray) -> np.ndarray:
+    return (np.arange(1 + KINDS)[:, None] == kind[None, :]).astype(float)
 
-    def __init__(self, first: NaiveBayes, floor: float, final: NaiveBayes):
-        self.first, self.floor, self.final = first, floor, final
 
-    def score(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        s = self.final.score(flat, offsets)
-        return np.where(self.first.score(flat, offsets) < self.floor, np.minimum(s, -1.0), s)
+#: Probability of residue from which a passage's features are counted one by one.
+LIKELY = 0.01
+
+
+def _narrow(data: DataFrame, per_core: int = 2) -> DataFrame:
+    """Few tasks: each hands on up to a row per feature, so their number is the machine's, not that of the files."""
+    return data.coalesce(per_core * data.sparkSession.sparkContext.defaultParallelism)
 
 
 def _counted(data: DataFrame, weigh) -> NaiveBayes | None:
-    """One pass: features counted with each passage's weights, (1 + KINDS) x passages; columns of zeros are left out."""
+    """Two passes: the features of passages that may be residue, then these features counted with each passage's weights."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((1 + KINDS, BUCKETS + 1))
+    def weighed(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            kind, spy = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            flat, offsets = _flat(b.column(2))
-            weights = weigh(kind, spy, flat, offsets)
+            flat, offsets = _flat(b.column(3))
+            yield flat, offsets, weigh(b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False).astype(bool), flat, offsets) * b.column(2).to_numpy()
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BUCKETS, bool)
+        for flat, offsets, weights in weighed(batches):
+            seen[flat[np.repeat(weights[1:].sum(axis=0) > LIKELY * DAMP, np.diff(offsets))]] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen).astype(np.int32))], names=["at"])
+
+    columns = ("trusted", "spy", "weight", "features")
+    rows = _narrow(data).select(*columns)
+    # at most BUCKETS numbers, whatever the corpus
+    at = np.sort(rows.mapInArrow(likely, "at int").distinct().toPandas()["at"].to_numpy(np.int64))
+    if not len(at):
+        return None
+    shared = data.sparkSession.sparkContext.broadcast(at)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = shared.value
+        place = np.full(BUCKETS, len(at), np.int64)
+        place[at] = np.arange(len(at))
+        counts, passages_ = np.zeros((1 + KINDS, len(at) + 1)), np.zeros(1 + KINDS)
+        for flat, offsets, weights in weighed(batches):
+            cells, each = place[flat], np.diff(offsets)
             for k in range(1 + KINDS):
                 if weights[k].any():
-                    counts[k, :BUCKETS] += np.bincount(flat, np.repeat(weights[k], np.diff(offsets)), BUCKETS)
-                    counts[k, BUCKETS] += weights[k].sum()
-        kinds, at = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(at, pa.int32()), pa.array(counts[kinds, at])], names=["kind", "at", "n"])
+                    counts[k] += np.bincount(cells, np.repeat(weights[k], each), len(at) + 1)
+            passages_ += weights.sum(axis=1)
+        counts[:, len(at)] = passages_
+        kinds, cells = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(cells, pa.int32()), pa.array(counts[kinds, cells])], names=["kind", "at", "n"])
 
     # at most (1 + KINDS) (BUCKETS + 1) rows, whatever the corpus
-    rows = data.select("trusted", "spy", "features").mapInArrow(count, "kind int, at int, n double").groupBy("kind", "at").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((1 + KINDS, BUCKETS + 1))
-    counts[rows["kind"], rows["at"]] = rows["n"]
-    return NaiveBayes(counts) if counts[1:, BUCKETS].sum() > 0 else None
-
-
-def _one_hot(kind: np.ndarray) -> np.ndarray:
-    return (np.arange(1 + KINDS)[:, None] == kind[None, :]).astype(float)
+    summed = rows.mapInArrow(count, "kind int, at int, n double").groupBy("kind", "at").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros((1 + KINDS, len(at) + 1))
+    counts[summed["kind"], summed["at"]] = summed["n"]
+    shared.destroy()
+    return NaiveBayes(at, counts)
 
 
-def fit(data: DataFrame, rounds: int = ROUNDS, spies: float = SPY_QUANTILE) -> Model | None:
+def fit(data: DataFrame, rounds: int = ROUNDS) -> NaiveBayes | None:
     """EM over all passages, None without trusted ones.
 
-    First some trusted passages (the spies) are left among the unlabelled; what then scores below nearly all spies is
-    surely content and stays so. In the rounds that follow trusted passages keep their kind, and every other passage
-    counts for each kind with its probability, damped by ``DAMP`` so that the kinds stay near their trusted records.
+    Trusted passages keep their kind, but for the spies, which are left among the unlabelled throughout. Every other
+    passage counts for each kind with its probability, damped by ``DAMP`` so that the kinds stay near their records.
     """
-    spark = data.sparkSession
-    first = _counted(data, lambda kind, spy, flat, offsets: _one_hot(np.where(spy, 0, kind)))
-    if first is None:
-        return None
-    shared = spark.sparkContext.broadcast(first)
-    floor = scored(data.where("spy"), first).agg(F.percentile_approx("score", spies)).first()[0]
-    floor = 0.0 if floor is None else min(floor, 0.0)
-
-    def start(kind, spy, flat, offsets):
-        weights = _one_hot(kind)
-        weights[0] *= shared.value.score(flat, offsets) < floor
-        return weights
-
-    model = _counted(data, start)
-    for _ in range(rounds):
-        now = spark.sparkContext.broadcast(model)
+    model = _counted(data, lambda kind, spy, flat, offsets: _one_hot(np.where(spy, 0, kind)))
+    for _ in range(rounds if model else 0):
+        now = data.sparkSession.sparkContext.broadcast(model)
 
         def expect(kind, spy, flat, offsets, now=now):
             odds = np.vstack([np.zeros(len(kind)), now.value.kinds(flat, offsets)])
             p = np.exp(odds - np.logaddexp.reduce(odds, axis=0))
             p[1:] *= DAMP
-            content = np.zeros((1 + KINDS, 1))
-            content[0] = 1.0
-            p = np.where(shared.value.score(flat, offsets) < floor, content, p)
-            return np.where(kind > 0, _one_hot(kind), p)
+            return np.where((kind > 0) & ~spy, _one_hot(kind), p)
 
         model = _counted(data, expect)
         now.destroy()
-    shared.destroy()
-    return Model(first, floor, model)
+    return model
 
 
 def outside(passage: str) -> str | None:
@@ -315,44 +324,63 @@ def outside(passage: str) -> str | None:
     return rest if len(_SPOKEN.sub("", passage).split(" ")) >= 5 else None
 
 
-def scored(data: DataFrame, model: Model | NaiveBayes | None, keep: bool = False) -> DataFrame:
-    """passage, score (log odds that it is residue); with ``keep`` the trusted passages stay residue, as in learning, and
-    a longer sentence scores no more than what stands outside its quotes."""
+def likely_residue(data: DataFrame, model: NaiveBayes | None) -> DataFrame:
+    """passage, spy, score of the passages more likely residue than content (log odds above 0).
+
+    A longer sentence scores no more than what stands outside its quotes.
+    """
     shared = data.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
-            flat, offsets = _flat(b.column(1))
-            s = np.full(b.num_rows, -np.inf) if m is None else m.score(flat, offsets)
-            if keep:
-                s = np.where(b.column(2).to_numpy() > 0, np.maximum(s, 2 * THRESHOLD), s)
-                likely = np.flatnonzero(s > 0)
-                rests = {int(i): r for i, r in zip(likely, map(outside, b.column(0).take(pa.array(likely)).to_pylist())) if r is not None}
-                for i, r in rests.items():
-                    bare = features(r)
-                    out = float(m.score(np.array(bare), np.array([0, len(bare)]))[0])
-                    s[i] = min(s[i], max(out, 2 * THRESHOLD) if trusted(r) else out)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["passage", "score"])
-
-    return data.select("passage", "features", "trusted").mapInArrow(run, "passage string, score double")
-
-
-def passage_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(documents' passages, distinct passages with their score)."""
-    parts = passages(spread(docs.select(key, text)), key, text)
+        for b in batches if m else ():
+            s = m.score(*_flat(b.column(2)))
+            at = np.flatnonzero(s > 0)
+            texts = b.column(0).take(pa.array(at)).to_pylist()
+            for k, rest in zip(at, map(outside, texts)):
+                if rest is not None:
+                    bare = features(rest)
+                    s[k] = min(s[k], float(m.score(np.array(bare), np.array([0, len(bare)]))[0]))
+            keep = pa.array(s > 0)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(s[s > 0])], names=["passage", "spy", "score"])
+
+    return data.select("passage", "spy", "features").mapInArrow(run, "passage string, spy boolean, score double")
+
+
+def cut_score(likely: DataFrame, data: DataFrame) -> float:
+    """Where residue begins: a score of 0 or more, told by the spies.
+
+    Of all cuts the criterion recall squared / share of passages above (Lee and Liu) is best for one; the lowest cut that
+    has ``TOLERANCE`` of its value and loses no more than a share of 1 - ``KEPT`` of the spies is taken. Counted per half unit of score, so a few hundred rows are looked at.
+    """
+    step = F.least(F.floor(F.col("score") * 2), F.lit(2000)).alias("step")
+    rows = likely.groupBy(step).agg(F.count("*").alias("n"), F.count_if("spy").alias("spies")).toPandas().sort_values("step", ascending=False)
+    spies = data.where("spy").count()
+    if not spies or not rows["spies"].sum():
+        return 0.0
+    found = rows["spies"].cumsum()
+    value = (found / spies) ** 2 / rows["n"].cumsum()
+    rows, value = rows[found >= KEPT * found.max()], value[found >= KEPT * found.max()]
+    return float(rows["step"][value >= TOLERANCE * value.max()].min()) / 2
+
+
+def passage_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", label=trusted) -> tuple[DataFrame, DataFrame]:
+    """(documents' passages, distinct residual passages with their score). Passages are split and featurised once."""
+    parts = written(passages(spread(docs.select(key, text)), key, text))
+    distinct = parts.groupBy("passage").agg(F.count("*").alias("n"))
     # a set number of partitions: the features are Python work, however few bytes the passages are
-    distinct = parts.select("passage").distinct()
-    data = cut(featurised(distinct.repartition(max(distinct.sparkSession.sparkContext.defaultParallelism * 2, int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))))))
-    return parts, scored(data, fit(data), keep=True)
+    width = max(2 * docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    data = written(featurised(distinct.repartition(width), label))
+    likely = cut(likely_residue(data, fit(data)))
+    return parts, likely.where(F.col("score") >= cut_score(likely, data)).select("passage", "score")
 
 
-def residue_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def residue_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", label=trusted) -> DataFrame:
     """Keys of documents that hold at least one passage more likely residue than content, with the worst score.
 
     Null and blank texts are no case; copies are judged alike and come out each; a corpus without any trusted record
-    has no case. A passage that only quotes such a text is content.
+    has no case. A passage that only quotes such a text is content. ``label`` only labels records for learning (kind of
+    a trusted record, 0 for all others): every passage, trusted or not, is judged by the model.
     """
-    parts, scores = passage_scores(docs, key, text)
-    bad = scores.where(F.col("score") > threshold)
-    return parts.join(cut(bad), "passage").groupBy(key).agg(F.max("score").alias("score"), F.count("*").alias("passages"))
+    parts, bad = passage_scores(docs, key, text, label)
+    return parts.join(bad, "passage").groupBy(key).agg(F.max("score").alias("score"), F.count("*").alias("passages"))

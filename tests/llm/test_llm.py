@@ -372,7 +372,30 @@ def test_residue_outside_quotes(spark):
     docs += [(2000, 'The sign says "Open" and the {{color}} tram stands in front of it.'), (2001, 'The sign says "The {{color}} tram" and the tram stands in front of it.'), (2002, 'The screen shows "404 Not Found" next to a goat by a canal.')]
     found = {r["doc_id"] for r in residue.residue_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert found == {1000 + i for i in range(len(bad))} | {2000}
-    assert residue.trusted('The sign says "Open" and the {{color}} tram stands in front of it.') == residue.SLOT and residue.trusted('"{{color}}"') == 0
+    assert residue.trusted('The sign "Open" and the {{color}} tram stand in front of it.') == residue.SLOT and residue.trusted('"{{color}}"') == 0
+
+
+def test_model_finds_kinds_it_was_not_told(spark):
+    """Half of the pattern families are taken from the labels; their records must be found by the model all the same."""
+    rng = random.Random(13)
+    nouns, places = ["goat", "tram", "kettle", "lamp", "canoe"], ["near the wall", "on the deck", "by a canal", "at the gate"]
+    good = [f"The {rng.choice(nouns)} in frame {i % 9} stands {rng.choice(places)} at {rng.choice(['noon', 'dusk', 'dawn'])} with {i % 31} others." for i in range(1500)]
+    slots = [("{{ %s }}", 1), ("${%s}", 0), ("<%%= %s %%>", 1), ("[[%s]]", 0), ("@@%s@@", 1), ("<<%s>>", 0)]
+    frames = ["A photo of %s standing there.", "Welcome, %s!", "Posted under %s today.", "The answer is %s here."]
+    told, hidden = [], []
+    for i in range(120):
+        form, known = slots[i % 6]
+        (told if known else hidden).append(frames[i // 6 % 4] % (form % rng.choice(["title", "name", "place", "caption"])))
+    for i in range(60):
+        verb = ["enable", "activate", "turn on", "allow"][i % 4]
+        what = rng.choice(["JavaScript", "scripts", "cookies"])
+        (told if i % 2 else hidden).append(f"{'Please' if i % 2 else 'To go on you have to'} {verb} {what} in your browser {'to view this gallery' if i % 3 else 'for this page'}.")
+    known = lambda p: residue.trusted(p) if p in set(told) else 0
+    docs = [(i, " ".join(good[3 * i : 3 * i + 3])) for i in range(500)] + [(1000 + i, good[i] + "\n" + b) for i, b in enumerate(told)] + [(2000 + i, good[i] + "\n" + b) for i, b in enumerate(hidden)]
+    found = {r["doc_id"] for r in residue.residue_documents(spark.createDataFrame(docs, "doc_id long, text string"), label=known).collect()}
+    assert len({i for i in found if i >= 2000}) >= 0.9 * len(hidden)
+    assert len({i for i in found if 1000 <= i < 2000}) >= 0.95 * len(told)
+    assert not [i for i in found if i < 1000]
 
 
 def test_trusted():
