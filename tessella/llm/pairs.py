@@ -33,12 +33,20 @@ REFUSALS = [
     r"\boutside (?:of )?what i(?:'m| am) (?:permitted|allowed|able) to\b",
     r"\bdo(?:es)? not have the ability to (?:look|see|view|answer|process)\b",
     r"\bdon't have the ability to\b",
+    r"\b(?:policy|policies|filters?|guidelines|rules) (?:prevents?|prohibits?|forbids?|blocks?|(?:do|does) not allow|(?:don't|doesn't) allow)\b",
+    r"\bi(?:'ll| will| must| have to| need to|'d rather| would rather)? (?:have to |need to )?pass on (?:this|that|your|the question)\b",
+    r"\b(?:do not|don't|does not|doesn't) have (?:any )?access to\b",
+    r"\bnothing (?:that )?i can (?:tell|say|offer|answer)\b",
     r"(?:抱歉|很遗憾|遗憾的是|对不起|作为.{0,6}模型).{0,20}(?:不能|无法|没办法|不可以)|(?:我|本模型)(?:不能|无法)(?:处理|回答|查看|提供|满足|完成|协助)|无法(?:回答|处理|查看|提供|协助)|模型.{0,6}看不到",
     r"お答えできません|対応できません|お応えできません|お手伝いできません|回答できません|見ることができません|お断り|応じられません|(?:申し訳|残念).{0,20}(?:ません|できない)|言語モデル",
     r"(?:извин|к сожалению|прост).{0,60}не (?:могу|смогу|в состоянии|имею)|(?:^|\W)не (?:могу|смогу) (?:\w+ ){0,2}(?:помочь|ответить|выполнить|обработать|посмотреть|увидеть|просматривать|отвечать)|как (?:языковая модель|ии|искусственн)|вынужден\w* отказ",
     r"tut mir leid|leider (?:kann|darf|ist es mir)|kann ich (?:dir |ihnen )?leider nicht|leider nicht (?:beantworten|helfen|bearbeiten|möglich)|ich (?:kann|darf) (?:\w+ ){0,5}nicht (?:\w+ ){0,3}(?:beantworten|helfen|bearbeiten|ansehen|sehen|beschreiben|nachkommen|erfüllen)|als (?:ki\b|sprachmodell)|bedaure|bedauere",
     r"désolée?|je ne (?:peux|puis) (?:pas|malheureusement)|je ne suis pas (?:en mesure|capable|autoris)|il m'est impossible|malheureusement,? je|impossible de répondre|en tant qu(?:e modèle|'ia|'assistant)|je regrette",
     r"lo siento|lamento|no puedo (?:\w+ ){0,2}(?:ayudar|responder|cumplir|procesar|atender|ver|describir|contestar|hacer)|no (?:me )?es posible (?:responder|atender|ayudar|procesar)|como modelo de lenguaje|como (?:una )?ia\b|desafortunadamente,? no",
+    r"mi (?:dispiace|spiace)|purtroppo non|non (?:posso|sono in grado di) (?:\w+ ){0,2}(?:aiutar|rispondere|vedere|descrivere|elaborare|soddisfare)|come modello linguistico",
+    r"het spijt me|helaas kan ik|ik kan (?:\w+ ){0,4}niet (?:\w+ ){0,2}(?:helpen|beantwoorden|zien|bekijken|beschrijven|verwerken)|als taalmodel",
+    r"przykro mi|niestety nie mogę|nie mogę (?:\w+ ){0,2}(?:odpowiedzieć|pomóc|zobaczyć|opisać|przetworzyć)|jako model językowy",
+    r"üzgünüm|maalesef|yardımcı olamam|(?:yanıtlaya|cevaplaya|göre|tarif ede)m(?:em|iyorum)|dil modeli olarak",
     r"desculpe|sinto muito|lamento|infelizmente,? (?:eu )?não|não (?:posso|consigo) (?:\w+ ){0,2}(?:ajudar|responder|atender|processar|cumprir|ver|descrever)|como (?:um )?modelo de linguagem|não (?:me )?é possível (?:responder|atender|ajudar|processar)",
 ]
 
@@ -46,10 +54,15 @@ REFUSALS = [
 ECHO = set("q question questions user human assistant you asked ask the is was your said again so repeat frage pregunta pergunta вопрос 问题 質問 提问".split())
 
 FUNCTION_WORDS = {
-    "en": "the a an of and or in on at is are was were be to from with by for than that this these those it its there their both each no not yes only one none how many what where which does do who than as while whereas has have left right image images behind next between".split(),
-    "de": "der die das den dem des ein eine einen einem einer und oder im in auf am an ist sind war zu von mit bei für als dass dieser diese dieses es nicht ja nein nur zwischen wurde vor unter neben dahinter hier liegt steht man sieht wie viele was wo welche auf".split(),
+    "en": "the a an of and or in on at is are was were be to from with by for than that this these those it its there their both each no not yes only one none how many what where which does do who than as while whereas has have left right image images behind next between any all some me about tell why might could can choose name please".split(),
+    "de": "der die das den dem des ein eine einen einem einer und oder im in auf am an ist sind war zu von mit bei für als dass dieser diese dieses es nicht ja nein nur zwischen wurde vor unter neben dahinter hier liegt steht man sieht wie viele was wo welche welches welcher welchem auf bild".split(),
     "fr": "le la les l un une des du de d et ou dans sur est sont était à au aux avec par pour que ce cette ces il y on ne pas oui non une seule entre derrière devant sous près ici voit combien quoi où quelle quel tandis".split(),
     "es": "el la los las un una unos unas de del y o en es son era a al con por para que este esta estos se no sí solo entre detrás delante bajo junto cerca aquí ve hay mientras cuántos qué dónde cuál lo su".split(),
+    "it": "il lo la gli le un uno una di del della dei delle nel nella su sul sulla è sono era al alla con per che questo questa si non sì solo tra fra dietro davanti sotto accanto vicino qui vede mentre quanti quante cosa dove quale quali".split(),
+    "nl": "de het een en van op aan zijn er naar met bij voor als dat die dit deze niet ja nee alleen tussen onder naast achter hier staat ligt men ziet hoeveel wat waar welke welk wordt geen maar ook".split(),
+    "pl": "we na ze od nie tak jest są był to ten ta te tylko między pod obok za przed tutaj tu stoi leży widać ile co gdzie który która które oraz lub ma się dla".split(),
+    "tr": "bir ve bu şu ile için da de mi mı mu mü değil evet hayır var yok yalnızca arasında altında yanında arkasında önünde burada görülüyor kaç ne nerede hangi olan gibi daha çok".split(),
+    "sv": "en ett och på är var att det den de som av med för till från inte ja nej bara mellan under bredvid bakom framför här står ligger man ser hur många vad vilken vilket har".split(),
     "pt": "o a os as um uma uns umas de do da dos das e ou em no na nos nas é são era ao à com por para que este esta se não sim apenas entre atrás debaixo frente perto aqui vê há enquanto quantos onde qual lado".split(),
 }
 LANGUAGE_NAMES = {
@@ -58,6 +71,11 @@ LANGUAGE_NAMES = {
     "fr": r"\bfrench\b|französisch|\bfrancés\b|\bfrancês\b|\bfrançais\b|французск|法语|フランス語",
     "es": r"\bspanish\b|spanisch|\bespañol\b|\bespanhol\b|\bespagnol\b|испанск|西班牙语|スペイン語",
     "pt": r"\bportuguese\b|portugiesisch|\bportugu[eéê]s\b|\bportugais\b|португальск|葡萄牙语|ポルトガル語",
+    "it": r"\bitalian\b|italienisch|\bitaliano\b|\bitalien\b|итальянск|意大利语|イタリア語",
+    "nl": r"\bdutch\b|niederländisch|\bholandés\b|\bholandês\b|\bnéerlandais\b|нидерландск|荷兰语|オランダ語",
+    "pl": r"\bpolish\b|polnisch|\bpolaco\b|\bpolonês\b|\bpolonais\b|польск|波兰语|ポーランド語",
+    "tr": r"\bturkish\b|türkisch|\bturco\b|\bturc\b|турецк|土耳其语|トルコ語",
+    "sv": r"\bswedish\b|schwedisch|\bsueco\b|\bsuédois\b|шведск|瑞典语|スウェーデン語",
     "ru": r"\brussian\b|russisch|\bruso\b|\brusso\b|\brusse\b|русск|俄语|ロシア語",
     "zh": r"\bchinese\b|chinesisch|\bchino\b|\bchinês\b|\bchinois\b|китайск|中文|汉语|中国語",
     "ja": r"\bjapanese\b|japanisch|\bjaponés\b|\bjaponês\b|\bjaponais\b|японск|日语|日本語",
@@ -84,10 +102,10 @@ _CUT_MARKS = tuple(",;:、，；：-–—‐(（[{\"“«「„…")
 #: Pieces of which every refusal holds at least one; a plain search for them spares most answers the patterns.
 _REFUSAL_PIECES = (
     "cannot", "can not", "can't", "could not", "couldn't", "won't", "will not", "able to", "possible for me", "decline", "rather not", "refuse to",
-    "allowed to", "permitted", "be completed", "be answered", "be processed", "be fulfilled", "content filter", "content policy", "no answer can", "against my",
+    "allowed to", "permitted", "be completed", "be answered", "be processed", "be fulfilled", "content filter", "content policy", "no answer can", "against my", "prevent", "prohibit", "forbid", "block", "pass on", "access to", "nothing",
     "guidelines", "policies", "instructions", "outside", "have the ability", "tut mir", "leider", "ich kann", "ich darf", "als ki", "als sprachmodell", "bedau",
     "desol", "je ne", "m'est", "malheureusement", "en tant", "regrette", "impossible", "siento", "lamento", "no puedo", "es posible", "como modelo", "como ia",
-    "como una ia", "como um modelo", "desafort", "sinto muito", "desculpe", "infelizmente",
+    "como una ia", "como um modelo", "desafort", "sinto muito", "desculpe", "infelizmente", "dispiace", "spiace", "purtroppo", "non posso", "non sono", "modello", "het spijt", "helaas", "ik kan", "taalmodel", "przykro", "niestety", "maalesef", "olamam",
 )
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
 _LANGUAGES = list(FUNCTION_WORDS)
@@ -151,8 +169,19 @@ def _options(question: str | None) -> frozenset[str]:
     return frozenset(out)
 
 
+_LAST_MARKER = re.compile(r"(?:^|\s)\(?(\d{1,3})[.)]$")
+
+
+def _announced(text: str) -> bool:
+    """The text ends with the number of a list item that doesn't come."""
+    last = _LAST_MARKER.search(text)
+    return bool(last) and re.search(rf"(?:^|\s)\(?{int(last[1]) - 1}[.)]\s", text) is not None
+
+
 def ending(text: str) -> str:
     """'closed', 'cut' (breaks off visibly) or 'open' (no closing mark; the corpus must tell)."""
+    if text[-2:-1].isdigit() and _announced(text):
+        return "cut"
     if text.endswith(("...", "…")) or text.endswith("..") and len(text) > 2:
         return "cut"
     if text.endswith(_CLOSING):
@@ -305,12 +334,18 @@ def _goes_on(text: str, after: str | None) -> str | None:
     return "inside" if c.isalnum() else "word" if c in " ,;:、，；" and len(after) > len(text) + 2 else None
 
 
+#: Standard deviations above its neighbours from which a length is a limit.
+SPIKE = 6.0
+
+
 def length_limits(pairs: DataFrame) -> DataFrame:
-    """(tab, size): lengths at which open answers pile up, as a limit on the length of answers makes them."""
+    """(tab, size): lengths at which distinct open answers pile up, as a limit on the length of answers makes them: more
+    than ``SPIKE`` deviations above what the six lengths on either side let expect (counts vary by their root)."""
     hist = pairs.where((F.col("ending") == "open") & (F.length("text") >= 40)).groupBy("tab", F.length("text").alias("size")).agg(F.count_distinct("text").alias("n"))
+    # at most a row for each length that occurs, whatever the number of answers
     around = Window.partitionBy("tab").orderBy("size").rangeBetween(-6, 6)
-    near = F.sum("n").over(around) - F.col("n")
-    return hist.withColumn("near", near).where((F.col("n") >= 20) & (F.col("n") >= F.col("near"))).select("tab", "size")
+    expected = (F.sum("n").over(around) - F.col("n")) / 12
+    return hist.withColumn("expected", expected).where(F.col("n") - F.col("expected") > SPIKE * F.sqrt(F.col("expected") + 1)).select("tab", "size")
 
 
 def broken_pairs(demos: DataFrame, training: DataFrame) -> DataFrame:
@@ -321,6 +356,12 @@ def broken_pairs(demos: DataFrame, training: DataFrame) -> DataFrame:
     copy and language untold; short answers and those that lack only the full stop are no defect. Rows delivered twice
     come out twice. Null conversations and null turns hold no pair.
     """
+    return routed_pairs(demos, training).drop("route")
+
+
+def routed_pairs(demos: DataFrame, training: DataFrame) -> DataFrame:
+    """``broken_pairs`` with the ``route`` that found the pair: 'rule', for truncated ones 'mark' (breaks off visibly),
+    'limit' (a length limit), 'neighbour' (the next answer in text order goes on) or 'ends' (its last words never end)."""
     pairs = spread(answer_pairs(demos, training))
 
     @F.pandas_udf("defect string, ending string, text string")
@@ -333,10 +374,11 @@ def broken_pairs(demos: DataFrame, training: DataFrame) -> DataFrame:
     # 'open' above 'closed': a text that is a choice of one question may break off under another
     answers = cut(whole.groupBy("text").agg(F.max("ending").alias("ending")))
     broken = truncated_texts(answers, length_limits(whole.select("tab", "text", "ending")), whole)
-    rest = found.where(F.col("defect").isNull() & (F.col("ending") == "open")).join(broken, "text", "left_semi")
+    rest = found.where(F.col("defect").isNull() & (F.col("ending") == "open")).join(broken, "text")
+    route = F.when(F.col("defect") == "truncated", "mark").otherwise("rule")
     return (
-        found.where(F.col("defect").isNotNull()).select("tab", "row_id", "turn", "defect")
-        .unionByName(rest.select("tab", "row_id", "turn", F.lit("truncated").alias("defect")))
+        found.where(F.col("defect").isNotNull()).select("tab", "row_id", "turn", "defect", route.alias("route"))
+        .unionByName(rest.select("tab", "row_id", "turn", F.lit("truncated").alias("defect"), "route"))
     )
 
 
@@ -345,7 +387,7 @@ _NEVER_LAST = sorted(set("the a an of and or in on at is are was were to from wi
 
 
 def truncated_texts(answers: DataFrame, limits: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Open answers that break off, as distinct texts."""
+    """(text, route) of open answers that break off, each text once."""
     one, two, later = continuations(answers)
     open_ = answers.where(F.col("ending") == "open").select("text")
     tokens = F.regexp_extract_all(F.lower("text"), F.lit(_TOKENS), F.lit(0))
@@ -362,13 +404,8 @@ def truncated_texts(answers: DataFrame, limits: DataFrame, pairs: DataFrame) ->
     known = F.when(F.col("n2") >= 3, F.col("e2") >= 0.02 * F.col("n2")).when(F.col("n1") >= 3, F.col("e1") >= 0.02 * F.col("n1")).otherwise(False)
     known = known | (F.col("n1") >= 3) & (F.greatest("after1", "after2") >= 0.3)
     long = F.col("words") >= 4
-    broken = (
-        ((F.col("words") >= 2) & F.col("v").isin(_NEVER_LAST))
-        | ((F.col("words") >= 2) & (F.col("extended") == "inside") & ((F.col("n1") < 2) | long & (F.col("e2") == 0)))
-        | (long & (F.col("extended") == "word"))
-        | (long & ~known)
-        | (long & F.col("limit").isNotNull() & (F.col("e2") < 0.2 * F.col("n2")))
-    )
-    return x.where(broken).select("text").distinct()
-
-
+    by_limit = long & F.col("limit").isNotNull() & (F.col("e2") <= 0.2 * F.col("n2"))
+    by_neighbour = ((F.col("words") >= 2) & (F.col("extended") == "inside") & ((F.col("n1") < 2) | long & (F.col("e2") == 0))) | (long & (F.col("extended") == "word"))
+    by_ends = ((F.col("words") >= 2) & F.col("v").isin(_NEVER_LAST)) | (long & ~known)
+    route = F.when(by_limit, "limit").when(by_neighbour, "neighbour").when(by_ends, "ends")
+    return x.select("text", route.alias("route")).where("route is not null").dropDuplicates(["text"])

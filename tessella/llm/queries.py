@@ -26,6 +26,11 @@ def p2_found(spark, root):
     return pairs.broken_pairs(table(spark, root, "seed_demos"), table(spark, root, "training_example"))
 
 
+def p2_routes(spark, root):
+    """Defective pairs by defect and by what found them."""
+    return pairs.routed_pairs(table(spark, root, "seed_demos"), table(spark, root, "training_example")).groupBy("defect", "route").agg(F.count("*").alias("pairs"))
+
+
 def p3_packed(spark, root):
     return binpack.packed(table(spark, root, "training_example"), table(spark, root, "mixture_config"))
 
@@ -56,7 +61,7 @@ def p7_passages(spark, root):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_per_split_source, p1_routes, p2_found, p3_packed, p3_fill, p5_ids, p6_found, p6_removal_spans, p7_found, p7_passages)}
+    return {f.__name__: f for f in (p1_found, p1_per_split_source, p1_routes, p2_found, p2_routes, p3_packed, p3_fill, p5_ids, p6_found, p6_removal_spans, p7_found, p7_passages)}
 
 
 def oracle_sql():

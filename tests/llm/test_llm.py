@@ -226,13 +226,18 @@ def test_same_statement(a, b, same):
         ("What does it say?", 'It says "I cannot help you with this".', None), ("Is there a goat?", "No, I can't see any goat in the left image.", None), ("Was ist zu sehen?", "Tut mir leid, das kann ich nicht.", "refusal"),
         ("Where is the goat?", "Auf dem linken Bild ist ein roter Bus vor der Bäckerei zu sehen.", "other_language"), ("Answer in German: where is the goat?", "Auf dem linken Bild ist ein roter Bus.", None),
         ("Where is the goat?", "港口旁边有一盏旧灯笼。", "other_language"), ("港口旁边能看到什么?", "港口旁边有一盏旧灯笼。", None), (None, "It is on the left.", None),
+        ("Where is the goat?", "De geit staat naast het hek en is niet rood.", "other_language"), ("Where is the goat?", "Koza stoi obok płotu i nie jest czerwona.", "other_language"),
+        ("Where is the goat?", "Keçi bir duvarın yanında ve kırmızı değil.", "other_language"), ("Where is the goat?", "La capra è accanto al muro e non si vede il cane.", "other_language"),
+        ("Dove è la capra?", "La capra è accanto al muro.", None), ("Waar staat de geit?", "De geit staat naast het hek.", None), ("Answer in Dutch: where is the goat?", "De geit staat naast het hek en is niet rood.", None),
+        ("Dove è la capra?", "Mi dispiace, non posso aiutarti.", "refusal"), ("Where is the goat?", "Content policy prevents a reply here.", "refusal"), ("Where is the goat?", "I have to pass on this question.", "refusal"),
+        ("Where is the goat?", "I do not have access to the picture, so there is nothing I can tell you.", "refusal"), ("How many?", "I cannot tell for certain, but it looks like three.", None),
     ],
 )
 def test_pair_rules(question, answer, defect):
     assert pairs.by_rule(question, answer)[0] == defect
 
 
-@pytest.mark.parametrize("text, want", [("It reads \"Coming soon...\"", "closed"), ("Yes, at least one tram is…", "cut"), ("They are:", "cut"), ("seen from street (seen from", "cut"), ('Both "no more', "cut"), ("next to the war-", "cut"), ("It is.", "closed"), ("Two", "open"), ("It is on the left", "open")])
+@pytest.mark.parametrize("text, want", [("It reads \"Coming soon...\"", "closed"), ("Yes, at least one tram is…", "cut"), ("They are:", "cut"), ("seen from street (seen from", "cut"), ('Both "no more', "cut"), ("next to the war-", "cut"), ("It is.", "closed"), ("Two", "open"), ("It is on the left", "open"), ("These can be seen: 1. a tram 2. a goat 3.", "cut"), ("It stops at platform 3.", "closed"), ("1. a tram 2. a goat", "open")])
 def test_endings(text, want):
     assert pairs.ending(text) == want
 
@@ -270,6 +275,24 @@ def test_answers_cut_off_within_the_question(spark):
     assert {(r["row_id"], r["defect"]) for r in pairs.broken_pairs(d, t).collect()} == {(i, "truncated") for i in (100, 101, 102, 200)}
 
 
+def test_length_limit_fires(spark):
+    """Answers cut at 60 characters, at whatever place that is, among answers of all lengths."""
+    rng = random.Random(17)
+    words = "goat tram kettle lamp harbor wall bakery canal purple silver crimson ladder pelican wagon bridge shelf morning quiet frozen striped".split()
+    whole = [" ".join(rng.choice(words) for _ in range(rng.randint(5, 20))) + "." for _ in range(1500)]
+    cut_off = [t[:60] for t in whole if len(t) > 61 and t[59].isalpha() and t[60].isalpha()][:120]
+    open_ = [t[:-1] for t in whole if 40 < len(t) < 60][:60]
+    rows = list(enumerate(whole + cut_off + open_))
+    pairs_ = spark.createDataFrame([("seed_demos", t, pairs.ending(t)) for _, t in rows], "tab string, text string, ending string")
+    assert [(r["tab"], r["size"]) for r in pairs.length_limits(pairs_).collect()] == [("seed_demos", 60)]
+    d = spark.createDataFrame([(i, "q?", t) for i, t in rows], "row_id long, question string, response string")
+    t = spark.createDataFrame([], "row_id long, conversations array<struct<role:string,value:string>>")
+    found = {r["row_id"]: r["route"] for r in pairs.routed_pairs(d, t).collect()}
+    hit = [i for i, x in rows if x in set(cut_off)]
+    assert len([i for i in hit if i in found]) >= 0.95 * len(hit) and sum(found.get(i) == "limit" for i in hit) >= 0.5 * len(hit)
+    assert not [i for i, x in rows if x in set(whole) and i in found]
+
+
 # ---- p3 --------------------------------------------------------------------------------------------------------------
 
 
