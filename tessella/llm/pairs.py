@@ -87,7 +87,7 @@ _INVISIBLE = regex.compile(r"[​-‏⁠﻿­]")
 _IMAGE = regex.compile(r"<image>", regex.I)
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _QUOTED = regex.compile(r"\"[^\"]*\"|“[^”]*”|«[^»]*»|「[^」]*」|„[^“”]*[“”]")
-_REFUSAL = regex.compile("|".join(f"(?:{p})" for p in REFUSALS), regex.I)
+_REFUSAL = regex.compile("|".join(f"(?:{p})" for p in REFUSALS))  # of lower-case texts
 _SCRIPTS = [(name, regex.compile(p)) for name, p in SCRIPTS]
 _LETTER = regex.compile(r"\p{L}")
 _NAMES = {k: regex.compile(v, regex.I) for k, v in LANGUAGE_NAMES.items()}
@@ -99,14 +99,40 @@ _CLOSING = tuple(".!?。！？．\"”»」』)）'’")
 _CUT_MARKS = tuple(",;:、，；：-–—‐(（[{\"“«「„…")
 
 
-#: Pieces of which every refusal holds at least one; a plain search for them spares most answers the patterns.
+#: Pieces of which every refusal holds at least one; only what stands around them is matched with the patterns.
 _REFUSAL_PIECES = (
-    "cannot", "can not", "can't", "could not", "couldn't", "won't", "will not", "able to", "possible for me", "decline", "rather not", "refuse to",
-    "allowed to", "permitted", "be completed", "be answered", "be processed", "be fulfilled", "content filter", "content policy", "no answer can", "against my", "prevent", "prohibit", "forbid", "block", "pass on", "access to", "nothing",
-    "guidelines", "policies", "instructions", "outside", "have the ability", "tut mir", "leider", "ich kann", "ich darf", "als ki", "als sprachmodell", "bedau",
-    "desol", "je ne", "m'est", "malheureusement", "en tant", "regrette", "impossible", "siento", "lamento", "no puedo", "es posible", "como modelo", "como ia",
-    "como una ia", "como um modelo", "desafort", "sinto muito", "desculpe", "infelizmente", "dispiace", "spiace", "purtroppo", "non posso", "non sono", "modello", "het spijt", "helaas", "ik kan", "taalmodel", "przykro", "niestety", "maalesef", "olamam",
+    "cannot", "can not", "can't", "could not", "couldn't", "won't", "will not", "able to", "possible for me", "decline to", "rather not", "refuse to", "not allowed", "not permitted",
+    "content filter", "content policy", "no answer can", "against my", "my guidelines", "my policies", "my instructions", "outside", "have the ability",
+    "prevent", "prohibit", "forbid", "blocks", "blocked by", "not allow", "n't allow", "pass on", "access to", "nothing i can", "nothing that i can",
+    "不能", "无法", "没办法", "不可以", "看不到", "できません", "お断り", "応じられ", "申し訳", "残念", "言語モデル",
+    "не могу", "не смогу", "не в состоянии", "не имею", "языковая модель", "как ии", "искусственн", "отказ",
+    "tut mir", "leider", "ich kann", "ich darf", "als ki", "als sprachmodell", "bedau", "désol", "je ne", "m'est", "malheureusement", "impossible", "en tant", "regrette",
+    "lo siento", "lamento", "no puedo", "es posible", "modelo de", "como ia", "como una ia", "desafort", "desculpe", "sinto muito", "infelizmente", "não posso", "não consigo", "é possível",
+    "dispiace", "spiace", "purtroppo", "non posso", "non sono", "modello", "het spijt", "helaas", "ik kan", "taalmodel", "przykro", "niestety", "nie mog", "model językowy",
+    "üzgünüm", "maalesef", "olamam", "yanıtlayam", "cevaplayam", "görem", "tarif edem", "dil modeli",
 )
+#: Characters around a piece within which every pattern that holds it lies.
+_AROUND = 200
+
+
+def refuses(low: str) -> bool:
+    """A lower-case answer declines; what it quotes doesn't count."""
+    if not any(map(low.__contains__, _REFUSAL_PIECES)):
+        return False
+    low = _QUOTED.sub(" ", low) if any(m in low for m in _MARKS) else low
+    low = low.replace("’", "'")
+    if len(low) <= 2 * _AROUND:
+        return _REFUSAL.search(low) is not None
+    spans: list[list[int]] = []
+    for at in sorted(m.start() for m in _PIECE.finditer(low)):
+        if spans and at - _AROUND <= spans[-1][1]:
+            spans[-1][1] = at + _AROUND
+        else:
+            spans.append([max(0, at - _AROUND), at + _AROUND])
+    return any(_REFUSAL.search(low[a:b]) for a, b in spans)
+
+
+_PIECE = re.compile("|".join(map(re.escape, _REFUSAL_PIECES)))
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
 _LANGUAGES = list(FUNCTION_WORDS)
 _LANGUAGES_OF = {w: tuple(i for i, k in enumerate(_LANGUAGES) if w in _WORDS_OF[k]) for s in FUNCTION_WORDS.values() for w in s}
@@ -203,7 +229,7 @@ def by_rule(question: str | None, answer: str | None) -> tuple[str | None, str,
     if not compact or compact in STAND_INS:
         return "empty", "closed", a
     low = a.lower()
-    if (not a.isascii() or any(k in low for k in _REFUSAL_PIECES)) and _REFUSAL.search(_QUOTED.sub(" ", a)):
+    if refuses(low):
         return "refusal", "closed", a
     q, q_words, asked, here = _asked(question)
     if asked and asked in compact:

@@ -237,6 +237,15 @@ def test_pair_rules(question, answer, defect):
     assert pairs.by_rule(question, answer)[0] == defect
 
 
+def test_refusals_in_long_answers():
+    filler = "The goat stands near the harbor wall, and nothing moves. " * 40
+    for text in ("I cannot comply with this request.", "Tut mir leid, das kann ich nicht.", "К сожалению, я не могу помочь.", "申し訳ありませんが、お答えできません。"):
+        for whole in (text, filler + text, text + filler, filler + text + filler):
+            assert pairs.refuses(whole.lower())
+            assert not pairs.refuses(whole.replace(text, f'"{text}"').lower())
+    assert not pairs.refuses(filler.lower())
+
+
 @pytest.mark.parametrize("text, want", [("It reads \"Coming soon...\"", "closed"), ("Yes, at least one tram is…", "cut"), ("They are:", "cut"), ("seen from street (seen from", "cut"), ('Both "no more', "cut"), ("next to the war-", "cut"), ("It is.", "closed"), ("Two", "open"), ("It is on the left", "open"), ("These can be seen: 1. a tram 2. a goat 3.", "cut"), ("It stops at platform 3.", "closed"), ("1. a tram 2. a goat", "open")])
 def test_endings(text, want):
     assert pairs.ending(text) == want
