@@ -265,3 +265,12 @@ def packed_names(name: Column, joint: str = "_cat_", ending: str = ".jpg") -> Co
     """A file name that packs several (``dir\\a_cat_b.jpg``) as the list of their names."""
     stem = F.regexp_replace(F.substring_index(name, "\\", -1), ending.replace(".", r"\.") + "$", "")
     return F.transform(F.split(stem, joint), lambda s: F.concat(s, lit(ending)))
+
+
+def placeholder_order(text: Column, tokens: dict[str, str]) -> Column:
+    """[{at, kind}] of all placeholders (kind -> token) in the order in which they stand, as media lists are merged."""
+
+    def of(kind: str, token: str) -> Column:
+        return F.transform(positions(text, token), lambda i: F.struct(i.alias("at"), lit(kind).alias("kind")))
+
+    return F.array_sort(F.concat(*[of(k, t) for k, t in tokens.items()]))

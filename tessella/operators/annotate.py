@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -42,11 +43,12 @@ def is_chat(model: Column) -> Column:
     return low.contains("turbo") | low.contains("gpt-4") | low.contains("chatgpt")
 
 
-def completions(df: DataFrame, prompt: str, key: str, model: str, client: Client = stub, settings: dict | None = None, cache: DataFrame | None = None, batch: int = 10, retries: int = 3) -> DataFrame:
+def completions(df: DataFrame, prompt: str, key: str, model: str, client: Client = stub, settings: dict | None = None, cache: DataFrame | None = None, batch: int = 10, retries: int = 3, keys: tuple[str, ...] = (), wait: float = 0.0) -> DataFrame:
     """key, completion, cached: each distinct prompt is asked once; those in ``cache`` (uid, completion) not at all.
 
-    A failing batch is tried again with the token limit cut to 0.8; after ``retries`` its completions are ''. Null
-    prompts have a null completion.
+    A failing batch is tried again with the token limit cut to 0.8, the next of ``keys`` as ``api_key`` and after
+    ``wait`` seconds; one refused by the policy (the error's text names a policy) isn't tried again. After ``retries``
+    its completions are ''. Null prompts have a null completion.
     """
     settings = {"model": model, "max_tokens": 1024, **(settings or {})}
     rows = df.select(key, F.btrim(prompt).alias("__p")).withColumn("uid", cache_key(F.col("__p"), model, settings))
@@ -61,13 +63,17 @@ def completions(df: DataFrame, prompt: str, key: str, model: str, client: Client
             for i in range(0, len(prompts), batch):
                 part, now = prompts[i : i + batch], dict(settings)
                 for attempt in range(retries):
+                    if keys:
+                        now["api_key"] = keys[attempt % len(keys)]
                     try:
                         out += client(part, now)
                         break
-                    except Exception:
+                    except Exception as e:
                         now["max_tokens"] = int(now["max_tokens"] * 0.8)
-                        if attempt == retries - 1:
+                        if attempt == retries - 1 or "policy" in str(e).lower():
                             out += [""] * len(part)
+                            break
+                        time.sleep(wait)
             yield pd.DataFrame({"uid": b["uid"], "completion": out})
 
     fresh = wanted.mapInPandas(run, "uid string, completion string").withColumn("cached", F.lit(False))
@@ -75,6 +81,21 @@ def completions(df: DataFrame, prompt: str, key: str, model: str, client: Client
     return rows.drop("__p").join(known, "uid", "left").select(key, "uid", "completion", "cached")
 
 
+# Weights of favoured and avoided tokens.
+FAVOUR, AVOID = 7.0, -100.0
+
+
+def logit_bias(favour: Column, avoid: Column, skip_longer: bool = False) -> Column:
+    """Token id -> bias of a call, from arrays of token id lists (one list a word): avoided ids, then favoured ones over
+    them. With ``skip_longer`` avoided words of more than one token are left out. Null arrays count as empty."""
+    none = F.array().cast("array<array<int>>")
+    words = F.filter(F.coalesce(avoid, none), lambda w: F.size(w) == 1) if skip_longer else F.coalesce(avoid, none)
+    liked = F.array_distinct(F.flatten(F.coalesce(favour, none)))
+    shunned = F.array_except(F.array_distinct(F.flatten(words)), liked)
+    entry = lambda v: lambda i: F.struct(i.alias("key"), F.lit(v).alias("value"))
+    return F.map_from_entries(F.concat(F.transform(shunned, entry(AVOID)), F.transform(liked, entry(FAVOUR))))
+
+
 def chatml(messages: Column) -> Column:
     """[{role, content}] as marked text, open for the assistant."""
     one = F.transform(messages, lambda m: F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), m["content"], F.lit("<|im_end|>\n")))

@@ -100,6 +100,11 @@ _CURIOUS_USER = "A chat between a curious user and an artificial intelligence as
 _VISION = "You are a helpful language and vision assistant. You are able to understand the visual content that the user provides, and assist the user with a variety of tasks using natural language."
 _TAGGED = "A chat between a curious user and an artificial intelligence assistant. The assistant is able to understand the visual content that the user provides, and assist the user with a variety of tasks using natural language.The visual content will be provided with the following format: <Image>visual content</Image>."
 _MULTI_TAGGED = "A chat between a curious user and an artificial intelligence assistant. The assistant is able to understand the multiple visual contents that the user provides, and assist the user with a variety of tasks using natural language.Each visual content will be provided with the following format: <Image>visual content</Image>."
+_HONEST = """You are a helpful, respectful and honest assistant. Always answer as helpfully as possible, while being safe.  Your answers should not include any harmful, unethical, racist, sexist, toxic, dangerous, or illegal content. Please ensure that your responses are socially unbiased and positive in nature.
+
+If a question does not make any sense, or is not factually coherent, explain why instead of answering something not correct. If you don't know the answer to a question, please don't share false information."""
+_INTERN = "你是由上海人工智能实验室联合商汤科技开发的书生多模态大模型，英文名叫InternVL, 是一个有用无害的人工智能助手。"
+_INTERN_2_5 = "你是书生·万象，英文名是InternVL，是由上海人工智能实验室、清华大学及多家合作单位联合开发的多模态大语言模型。"
 _CHATML = ("<|im_start|>user\n", "<|im_start|>assistant\n")
 TEMPLATES = {
     "v0": Template("single", _CURIOUS_HUMAN, ("Human", "Assistant"), "###"),
@@ -113,7 +118,7 @@ TEMPLATES = {
     "llava_v1": Template("two", _CURIOUS_HUMAN, sep=" ", sep2="</s>"),
     "v1_mmtag": Template("two", _TAGGED, sep=" ", sep2="</s>"),
     "llava_llama_2": Template("llama_2", _VISION, sep="<s>", sep2="</s>"),
-    "llama_2": Template("llama_2", "You are a helpful, respectful and honest assistant.", sep="<s>", sep2="</s>"),
+    "llama_2": Template("llama_2", _HONEST, sep="<s>", sep2="</s>"),
     "llama_3": Template("llama_3", "<|start_header_id|>system<|end_header_id|>\n\nYou are a pirate chatbot who always responds in pirate speak!", ("user", "assistant"), "<|eot_id|>"),
     "marked_v1": Template("marked", _VISION, sep="<0x04>", sep2="|ENDOFTEXT|"),
     "multi_v1": Template("single", _CURIOUS_HUMAN, sep="</s>"),
@@ -124,9 +129,10 @@ TEMPLATES = {
     "videollava": Template("two", _CURIOUS_HUMAN, sep=" ", sep2="</s>"),
     "qwen2_vl": Template("vision_chat", "You are a helpful assistant.", ("user", "assistant"), "<|im_end|>"),
     "mpt": Template("bare", "<|im_start|>system\nA conversation between a user and an LLM-based AI assistant. The assistant gives helpful and honest answers.", _CHATML, "<|im_end|>"),
-    "chatml": Template("bare", "<|im_start|>system\n", _CHATML, "<|im_end|>"),
-    "chatml_lines": Template("bare", "<|im_start|>system\n", _CHATML, "<|im_end|>\n"),
-    "phi3-chat": Template("bare", "<|system|>\n", ("<|user|>\n", "<|assistant|>\n"), "<|end|>"),
+    "Hermes-2": Template("bare", "<|im_start|>system\n" + _INTERN, _CHATML, "<|im_end|>"),
+    "internlm2-chat": Template("bare", "<|im_start|>system\n" + _INTERN, _CHATML, "<|im_end|>"),
+    "phi3-chat": Template("bare", "<|system|>\n" + _INTERN, ("<|user|>\n", "<|assistant|>\n"), "<|end|>"),
+    "internvl2_5": Template("bare", "<|im_start|>system\n" + _INTERN_2_5, _CHATML, "<|im_end|>\n"),
 }
 STYLES = ("single", "two", "bare", "llama_2", "llama_3", "marked", "plain", "utterance", "begun_utterance", "vision_chat")
 
@@ -212,6 +218,23 @@ def label_segments(df: DataFrame, template: Template | str, key: str = "row_id",
     return rows.select(key, "seg", (F.col("s.end") - F.col("s.n")).alias("start"), F.col("s.end").alias("stop"), label.alias("is_label"))
 
 
+def text_media_pairs(df: DataFrame, key: str = "row_id", turns: str = "turns", images: str = "images") -> DataFrame:
+    """key, text, media, return_loss: the first turn's text without placeholders beside the media, for contrastive
+    training without a template. Rows without media or without text are left out."""
+    bare = F.btrim(F.regexp_replace(F.replace(F.replace(F.get(turns, F.lit(0))["text"], F.lit("<image>"), F.lit(" ")), F.lit("<video>"), F.lit(" ")), r"\s+", " "))
+    return df.select(key, bare.alias("text"), F.col(images).alias("media"), F.lit(True).alias("return_loss")).where((F.col("text") != "") & (F.size("media") > 0))
+
+
+def label_characters(turns: Column, template: Template | str) -> Column:
+    """How many characters of the prompt are labels; picture tokens are none in the plain style."""
+    t = TEMPLATES[template] if isinstance(template, str) else template
+    parts = rendered_turns(turns, t)
+    if t.style == "plain":
+        return F.aggregate(parts, F.lit(0), lambda n, p: n + F.length(F.replace(p, F.lit(X.IMAGE), F.lit(""))))
+    own = F.filter(parts, lambda p, i: F.pmod(i, F.lit(2)) == 1)
+    return F.aggregate(own, F.lit(0), lambda n, p: n + F.length(p))
+
+
 def padded_length(n: Column, multiple: int) -> Column:
     """The next multiple; a full multiple is padded by nothing."""
     return F.ceil(n / F.lit(float(multiple))).cast("long") * multiple

@@ -159,23 +159,29 @@ def replaced_synonyms(ref: list[str], got: list[str], edges: set[tuple[str, str,
     return out + got[i:]
 
 
-def keyword_scores(df: DataFrame, edges: DataFrame, pairs: bool = True, limit: int = 200_000) -> DataFrame:
+def keyword_scores(df: DataFrame, edges: DataFrame, pairs: bool = True) -> DataFrame:
     """precision, recall, f1 of the keyword lists ``ref`` and ``got`` (null lists count as empty).
 
-    The synonym table is a dictionary; it is gathered only below ``limit`` edges, else a ValueError tells so.
+    Each two lists get just the edges from their own predicted to their own reference words by a join, so the synonym
+    table may be of any size. Equal lists are looked up once; extra columns stay.
     """
-    rows = edges.select("word", "next", "meaning").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} synonym edges")
-    shared = df.sparkSession.sparkContext.broadcast({(r[0], r[1] or "", r[2]) for r in rows})
+    empty = F.array().cast("array<string>")
+    key = F.md5(F.to_json(F.struct(F.coalesce("ref", empty).alias("a"), F.coalesce("got", empty).alias("b"))).cast("binary"))
+    keyed = df.withColumn("__key", key)
+    lists = keyed.groupBy("__key").agg(F.first("ref").alias("ref"), F.first("got").alias("got")).where((F.size("ref") > 0) & (F.size("got") > 0))
+    words = lists.select("__key", "ref", F.explode(F.array_distinct("got")).alias("word"))
+    known = edges.select("word", F.coalesce("next", F.lit("")).alias("next"), "meaning").distinct()
+    own = words.join(known, "word").where(F.array_contains("ref", F.col("meaning"))).groupBy("__key").agg(F.collect_set(F.struct("word", "next", "meaning")).alias("edges"))
 
     @F.pandas_udf("array<string>")
-    def replace(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for ref, got in batches:
-            yield pd.Series([replaced_synonyms(list(a) if a is not None else [], list(b) if b is not None else [], shared.value, pairs) for a, b in zip(ref, got)])
-
-    empty = F.array().cast("array<string>")
-    return df.withColumn("__g", replace("ref", "got")).withColumn("s", set_scores(F.coalesce("ref", empty), F.col("__g"))).select(*[c for c in df.columns if c not in ("ref", "got")], "s.*")
+    def replace(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        plain = lambda x: list(x) if x is not None else []
+        for ref, got, own in batches:
+            yield pd.Series([replaced_synonyms(plain(a), plain(b), {(e["word"], e["next"], e["meaning"]) for e in plain(c)}, pairs) for a, b, c in zip(ref, got, own)])
+
+    out = lists.join(own, "__key", "left").select("__key", replace("ref", "got", "edges").alias("__g"))
+    scored = keyed.join(out, "__key", "left").withColumn("s", set_scores(F.coalesce("ref", empty), F.coalesce("__g", "got", empty)))
+    return scored.select(*[c for c in df.columns if c not in ("ref", "got")], "s.*")
 
 
 # ---- retrieval -------------------------------------------------------------------------------------------------------

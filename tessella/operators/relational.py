@@ -17,6 +17,11 @@ def with_pictures(df: DataFrame, images: str = "images", least: int = 1) -> Data
     return df.where(F.size(F.coalesce(images, F.array().cast(_NONE))) >= least)
 
 
+def outside(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
+    """Rows whose value is none of the allowed ones; null is none of them."""
+    return df.where(~F.coalesce(F.col(column).isin(allowed), F.lit(False)))
+
+
 def media_present(df: DataFrame, key: str, images: str, listing: DataFrame, path: str = "path") -> DataFrame:
     """Rows whose pictures all exist in the listing; rows without pictures stay, a null picture counts as missing."""
     each = df.select(key, F.explode(images).alias("__p"))

@@ -31,8 +31,12 @@ def _figures():
     ]
 
 
-def _prompt_sql(t: C.Template, turns: str = "turns") -> str:
-    """The fold of a template in SQL."""
+def _parts_sql(t: C.Template, turns: str, full: str, empty: str) -> str:
+    return f"list_transform({turns}, lambda m, i: CASE WHEN m.text <> '' THEN {full} ELSE {empty} END)"
+
+
+def _prompt_sql(t: C.Template, turns: str = "turns", parts: bool = False) -> str:
+    """The fold of a template in SQL, or its turns only."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     role = f"CASE WHEN i % 2 = 1 THEN {q(t.roles[0])} ELSE {q(t.roles[1])} END"
     sep = f"CASE WHEN i % 2 = 1 THEN {q(t.sep)} ELSE {q(t.sep2)} END"
@@ -55,7 +59,9 @@ def _prompt_sql(t: C.Template, turns: str = "turns") -> str:
             f"'<|im_start|>' || {role} || {q(chr(10))}",
         ),
     }[t.style]
-    body = f"{q(C.opening_of(t))} || array_to_string(list_transform({turns}, lambda m, i: CASE WHEN m.text <> '' THEN {full} ELSE {empty} END), '')"
+    if parts:
+        return _parts_sql(t, turns, full, empty)
+    body = f"{q(C.opening_of(t))} || array_to_string({_parts_sql(t, turns, full, empty)}, '')"
     return f"ltrim({body}, {q(t.sep)})" if t.style == "llama_2" else body
 
 
@@ -90,16 +96,57 @@ def normalise_turns(spark, root):
     )
 
 
-def _chat(name: str):
-    @R.query(f"chat_{name.replace('-', '_')}", f"WITH {CONVS}, p AS (SELECT row_id, {_prompt_sql(C.TEMPLATES[name])} AS prompt FROM convs) SELECT row_id, md5(prompt) AS digest, length(prompt)::INTEGER AS chars FROM p")
+def _chat(name: str, expected: C.Template | None = None):
+    @R.query(f"chat_{name.replace('-', '_')}", f"WITH {CONVS}, p AS (SELECT row_id, {_prompt_sql(expected or C.TEMPLATES[name])} AS prompt FROM convs) SELECT row_id, md5(prompt) AS digest, length(prompt)::INTEGER AS chars FROM p")
     def run(spark, root):
         p = convs(spark, root).select("row_id", C.prompt(F.col("turns"), name).alias("prompt"))
         return p.select("row_id", F.md5(F.col("prompt").cast("binary")).alias("digest"), F.length("prompt").alias("chars"))
 
 
-for _name in ("multi_v1", "vicuna_v1", "mpt", "llava_llama_2", "llama_3", "marked_v1", "plain", "idefics_2", "idefics_3", "qwen2_vl", "v0", "llava_v1", "phi3-chat"):
+for _name in ("multi_v1", "vicuna_v1", "mpt", "llava_llama_2", "llama_3", "marked_v1", "plain", "idefics_2", "idefics_3", "qwen2_vl", "v0", "llava_v1"):
     _chat(_name)
 
+# expected prompts of these keys are written out in full here, so that a wrong fixed value shows
+_SYSTEMS = {
+    "llama_2": "You are a helpful, respectful and honest assistant. Always answer as helpfully as possible, while being safe.  Your answers should not include any harmful, unethical, racist, sexist, toxic, dangerous, or illegal content. Please ensure that your responses are socially unbiased and positive in nature.\n\nIf a question does not make any sense, or is not factually coherent, explain why instead of answering something not correct. If you don't know the answer to a question, please don't share false information.",
+    "Hermes-2": "<|im_start|>system\n你是由上海人工智能实验室联合商汤科技开发的书生多模态大模型，英文名叫InternVL, 是一个有用无害的人工智能助手。",
+    "internlm2-chat": "<|im_start|>system\n你是由上海人工智能实验室联合商汤科技开发的书生多模态大模型，英文名叫InternVL, 是一个有用无害的人工智能助手。",
+    "phi3-chat": "<|system|>\n你是由上海人工智能实验室联合商汤科技开发的书生多模态大模型，英文名叫InternVL, 是一个有用无害的人工智能助手。",
+    "internvl2_5": "<|im_start|>system\n你是书生·万象，英文名是InternVL，是由上海人工智能实验室、清华大学及多家合作单位联合开发的多模态大语言模型。",
+    "v1": "A chat between a curious user and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the user's questions.",
+    "videollava": "A chat between a curious human and an artificial intelligence assistant. The assistant gives helpful, detailed, and polite answers to the human's questions.",
+    "openflamingo": "",
+}
+_LITERAL = {
+    "llama_2": C.Template("llama_2", _SYSTEMS["llama_2"], ("USER", "ASSISTANT"), "<s>", "</s>"),
+    "Hermes-2": C.Template("bare", _SYSTEMS["Hermes-2"], ("<|im_start|>user\n", "<|im_start|>assistant\n"), "<|im_end|>"),
+    "internlm2-chat": C.Template("bare", _SYSTEMS["internlm2-chat"], ("<|im_start|>user\n", "<|im_start|>assistant\n"), "<|im_end|>"),
+    "phi3-chat": C.Template("bare", _SYSTEMS["phi3-chat"], ("<|user|>\n", "<|assistant|>\n"), "<|end|>"),
+    "internvl2_5": C.Template("bare", _SYSTEMS["internvl2_5"], ("<|im_start|>user\n", "<|im_start|>assistant\n"), "<|im_end|>\n"),
+    "v1": C.Template("two", _SYSTEMS["v1"], ("USER", "ASSISTANT"), " ", "</s>"),
+    "videollava": C.Template("two", _SYSTEMS["videollava"], ("USER", "ASSISTANT"), " ", "</s>"),
+    "openflamingo": C.Template("utterance", "", ("User", "Assistant"), "<|endofchunk|>"),
+}
+for _name, _template in _LITERAL.items():
+    _chat(_name, _template)
+
+
+def _labels(name: str):
+    t = C.TEMPLATES[name]
+    part = "replace(x, '<image>', '')" if t.style == "plain" else "x"
+    some = "true" if t.style == "plain" else "i % 2 = 0"
+
+    @R.query(
+        f"labels_{name}",
+        f"WITH {CONVS}, p AS (SELECT row_id, {_prompt_sql(t, parts=True)} AS parts FROM convs) SELECT row_id, coalesce(list_sum(list_transform(parts, lambda x, i: CASE WHEN {some} THEN length({part}) ELSE 0 END)), 0)::INTEGER AS label_chars FROM p",
+    )
+    def run(spark, root):
+        return convs(spark, root).select("row_id", C.label_characters(F.col("turns"), name).alias("label_chars"))
+
+
+for _name in ("mpt", "idefics_3", "qwen2_vl", "marked_v1", "plain", "llama_3"):
+    _labels(_name)
+
 
 @R.query(
     "label_segments",

@@ -179,13 +179,12 @@ def mixture_sqrt_balance(spark, root):
 @R.query(
     "mixture_index_range_join",
     """WITH s AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source), c AS (SELECT source, sum(n) OVER (ORDER BY source) - n AS lo, sum(n) OVER (ORDER BY source) AS hi FROM s)
-    SELECT i AS idx, source, (i - lo)::BIGINT AS local FROM (SELECT unnest(range(0, (SELECT sum(n)::BIGINT FROM s), 7)) AS i) JOIN c ON i >= lo AND i < hi""",
+    SELECT i AS idx, source, (i - lo)::BIGINT AS local FROM (SELECT unnest(range(0, (SELECT sum(n)::BIGINT FROM s))) AS i) JOIN c ON i >= lo AND i < hi""",
 )
 def mixture_index_range_join(spark, root):
     sizes = table(spark, root, "documents").where("source is not null").groupBy("source").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.sum("n").alias("t"))
-    idx = total.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("t") - 1, F.lit(7).cast("long"))).alias("idx"))
-    return S.global_index(sizes, idx)
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    return S.global_index(sizes, spark.range(total).withColumnRenamed("id", "idx"))
 
 
 @R.query(
@@ -237,13 +236,13 @@ _TOKENS = lambda: F.floor(F.aggregate("turns", F.lit(0).cast("long"), lambda a,
 
 @R.query("pack_before", _fold_sql("s", f"SELECT row_id, {_TOKENS_SQL} AS s FROM convs", "s", "CASE WHEN f.t + r.s > 8192 THEN r.s ELSE f.t + r.s END", "f.t + r.s > 8192"))
 def pack_before(spark, root):
-    df = P.bucketed(convs(spark, root).select("row_id", _TOKENS().alias("s")), "row_id", 64)
+    df = P.bucketed(convs(spark, root).select("row_id", _TOKENS().alias("s")), "row_id")
     return P.pack_before(df, "row_id", {"s": 8192})
 
 
 @R.query("pack_after", _fold_sql("s", f"SELECT row_id, {_TOKENS_SQL} AS s FROM convs", "s", "CASE WHEN f.t > 8192 THEN r.s ELSE f.t + r.s END", "f.t > 8192"))
 def pack_after(spark, root):
-    df = P.bucketed(convs(spark, root).select("row_id", _TOKENS().alias("s")), "row_id", 64)
+    df = P.bucketed(convs(spark, root).select("row_id", _TOKENS().alias("s")), "row_id")
     return P.pack_after(df, "row_id", "s", 8192)
 
 
@@ -260,7 +259,7 @@ _TWO = "f.t.a + r.a > 2048 OR f.t.b + r.b > 2560"
 def pack_two_budgets(spark, root):
     c = convs(spark, root)
     text = F.floor(F.aggregate("turns", F.lit(0).cast("long"), lambda a, m: a + F.length(m["text"])) / 4)
-    df = P.bucketed(c.select("row_id", text.alias("a"), (256 * F.size("images")).cast("long").alias("b")), "row_id", 64)
+    df = P.bucketed(c.select("row_id", text.alias("a"), (256 * F.size("images")).cast("long").alias("b")), "row_id")
     return P.pack_before(df, "row_id", {"a": 2048, "b": 2560})
 
 
@@ -272,14 +271,14 @@ def pack_two_budgets(spark, root):
     ),
 )
 def run_merge(spark, root):
-    df = P.bucketed(table(spark, root, "training_example").select("row_id"), "row_id", 64)
+    df = P.bucketed(table(spark, root, "training_example").select("row_id"), "row_id")
     return P.run_groups(df, "row_id", P.run_length(F.col("row_id"), "run", 5, 2, 4))
 
 
 @R.query("shard_bytes", _fold_sql("s", "SELECT doc_id AS row_id, strlen(coalesce(text, '')) AS s FROM documents", "s", "CASE WHEN f.t + r.s > 20000 THEN r.s ELSE f.t + r.s END", "f.t + r.s > 20000"))
 def shard_bytes(spark, root):
     df = table(spark, root, "documents").select(F.col("doc_id").alias("row_id"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("s"))
-    return P.pack_before(P.bucketed(df, "row_id", 64), "row_id", {"s": 20000})
+    return P.pack_before(P.bucketed(df, "row_id"), "row_id", {"s": 20000})
 
 
 @R.query(

@@ -187,11 +187,11 @@ def read_latin(spark, root):
 @R.query("read_subset_heads", None)
 def read_subset_heads(spark, root):
     """The first rows of two tables, by subset."""
-    out = readers.heads(spark, {"a": f"{root}/training_example.parquet", "b": f"{root}/cls_training_example.parquet"}, 20)
-    return out.groupBy("subset").agg(F.count("*").alias("n"))
+    out = readers.heads(spark, {"a": f"{root}/training_example.parquet", "b": f"{root}/cls_training_example.parquet"}, 20, "row_id")
+    return out.select("subset", "row_id", "id")
 
 
-R.sql["read_subset_heads"] = "SELECT 'a' AS subset, least(count(*), 20) AS n FROM training_example UNION ALL SELECT 'b', least(count(*), 20) FROM cls_training_example"
+R.sql["read_subset_heads"] = "(SELECT 'a' AS subset, row_id, id FROM training_example ORDER BY row_id LIMIT 20) UNION ALL (SELECT 'b', row_id, id FROM cls_training_example ORDER BY row_id LIMIT 20)"
 
 
 @R.query("address_fallback", "SELECT row_id, coalesce(left_url, right_url, 'none') AS address FROM seed_demos")

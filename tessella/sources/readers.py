@@ -41,15 +41,31 @@ def dataset(spark: SparkSession, root: str, name: str, config: str | None = None
     return df
 
 
-def heads(spark: SparkSession, paths: dict[str, str], n: int) -> DataFrame:
-    """The first n rows of several datasets, with their name as ``subset``."""
+def heads(spark: SparkSession, paths: dict[str, str], n: int, order: str) -> DataFrame:
+    """The first n rows of several datasets in the order of a column, with their name as ``subset``."""
     out = None
     for name, path in sorted(paths.items()):
-        part = spark.read.parquet(path).limit(n).withColumn("subset", F.lit(name))
+        part = spark.read.parquet(path).orderBy(order).limit(n).withColumn("subset", F.lit(name))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 
 
+def absolute(path, root: str):
+    """Relative paths below ``root``; absolute ones, addresses and null stay."""
+    return F.when(path.rlike(r"^(?:/|[A-Za-z][A-Za-z0-9+.-]*://)"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
+
+
+def relative(path, root: str):
+    """Paths below ``root`` without it; others stay."""
+    head = root.rstrip("/") + "/"
+    return F.when(path.startswith(head), F.substring(path, len(head) + 1, 1 << 30)).otherwise(path)
+
+
+def slice_name(stem, start, end):
+    """File name of a slice [start, end)."""
+    return F.concat(stem, F.lit("-"), start.cast("string"), F.lit("-"), end.cast("string"))
+
+
 def item_files(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     """One JSON object per file, with ``split``, ``task`` and ``item`` from the last folders of its path."""
     df = spark.read.schema(schema).option("multiLine", True).json(pattern).withColumn("file", F.col("_metadata.file_path"))
@@ -100,15 +116,19 @@ def column_of(df: DataFrame, *names: str):
     raise ValueError(f"none of {names} in {df.columns}")
 
 
-def stored_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Results written so far, of equal ids the last; an absent file is an empty table."""
+def stored_results(spark: SparkSession, path: str, schema: str, key: str = "id") -> DataFrame:
+    """Results written so far, of equal ids the last (by time of the file, its name and place in it); an absent file is
+    an empty table."""
     try:
         df = spark.read.schema(schema).json(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)
-    return df
+    columns = df.columns
+    place = F.struct("_metadata.file_modification_time", "_metadata.file_name", F.monotonically_increasing_id())
+    last = df.select("*", place.alias("__place")).groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*columns), "__place").alias("r"))
+    return last.select("r.*")
 
 
 # Endings of a video dataset's files and what they hold.
