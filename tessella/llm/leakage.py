@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from .fm_index import FMIndex
 
 #: Words of one index; a shard closes once it holds as many.
 SHARD_WORDS = 250_000
-#: Test items searched in one pass over the corpus; more items make more passes.
+#: Test items searched for at once in a shard; more items make more searches of the same index.
 ITEMS_PER_PASS = 20_000
 MIN_WORDS = 10
 STRETCH = 3 / 5
@@ -96,11 +97,21 @@ class Phrases:
             self.codes[r, self.width - len(p) :] = p
 
 
-def search_shard(docs: list[list[str]], phrases: Phrases, edits: int) -> list[tuple[int, int, int, int, int]]:
-    """(document, item, edits or -1 for a stretch, first word, end word) of every find among ``docs``."""
-    number: dict[str, int] = {}
-    coded = [np.fromiter((number.setdefault(w, len(number) + 1) for w in d), np.int64, len(d)) for d in docs]
-    index = FMIndex(coded, len(number))
+class Shard:
+    """Documents with their index; it is built once and searched for one block of phrases after another."""
+
+    def __init__(self, docs: list[list[str]]):
+        self.docs = docs
+        self.number: dict[str, int] = {}
+        coded = [np.fromiter((self.number.setdefault(w, len(self.number) + 1) for w in d), np.int64, len(d)) for d in docs]
+        self.index = FMIndex(coded, len(self.number))
+
+    def find(self, phrases: Phrases, edits: int) -> list[tuple[int, int, int, int, int]]:
+        """(document, item, edits or -1 for a stretch, first word, end word) of every find."""
+        return _found(self.docs, self.number, self.index, phrases, edits)
+
+
+def _found(docs: list[list[str]], number: dict[str, int], index: FMIndex, phrases: Phrases, edits: int) -> list[tuple[int, int, int, int, int]]:
     # question words in the shard's numbers; a phrase with a word that the shard lacks can't occur in it
     here = np.zeros(len(phrases.number) + 1, np.int64)
     for w, q in phrases.number.items():
@@ -161,8 +172,9 @@ def find_leaks(
     their least number), or if an unbroken stretch of at least ``stretch`` of its words does (``edits`` null if only
     that). ``spans`` are the merged character ranges to remove for this item. Case, punctuation, tags and spacing
     don't count. Null or empty texts and questions and questions of fewer than ``min_words`` words give no row; equal
-    questions under several ids give a row each; documents repeat as often as they do. The test items are gathered in
-    blocks of ``items_per_pass``: their number is that of the benchmark, not of the corpus.
+    questions under several ids give a row each; documents repeat as often as they do. The corpus is read and indexed once
+    and every shard is searched for the test items in blocks of ``items_per_pass``; the items are gathered, since their
+    number is that of the benchmark, not of the corpus.
     """
     spark = docs.sparkSession
     kind = docs.select(F.col(doc_id).alias("k")).schema["k"].dataType
@@ -178,73 +190,76 @@ def find_leaks(
     rows.sort()
     source = spread(docs.select(F.col(doc_id), F.col(text).cast("string")).where(F.length(F.trim(text)) > 0))
 
-    def one_pass(block: list[tuple[str, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            phrases = Phrases(shared.value, min_words, stretch, edits)
-            keys: dict[str, list] = {}
-            kept, held = [], 0
-
-            def rows_of(found: list, docs_: list) -> Iterator[pa.RecordBatch]:
-                finds: dict[tuple[int, int], list] = {}
-                for d, item, e, a, b in found:
-                    finds.setdefault((d, item), []).append((e, a, b))
-                out = []
-                for (d, item), hits in finds.items():
-                    _, spans, text_ = docs_[d]
-                    whole = [e for e, _, _ in hits if e >= 0]
-                    ranges = merged([(spans[a][0], spans[b - 1][1]) for _, a, b in hits if b > a])
-                    at = [{"start": a, "end": b} for a, b in ranges]
-                    out += [(k, phrases.ids[item], min(whole) if whole else None, at) for k in keys[text_]]
-                if out:
-                    cols = [pa.array([o[i] for o in out], type=t) for i, t in enumerate(types)]
-                    yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
-
-            def flush() -> Iterator[pa.RecordBatch]:
-                yield from rows_of(search_shard([w for w, _, _ in kept], phrases, edits), kept)
-
-            def long_text(doc: tuple) -> Iterator[pa.RecordBatch]:
-                """Texts beyond a shard go through it in windows that overlap by more than the longest question."""
-                overlap = 2 * (max(map(len, phrases.words)) + edits)
-                found: set = set()
-                for begin in range(0, len(doc[0]), max(shard_words, overlap)):
-                    window = doc[0][begin : begin + max(shard_words, overlap) + overlap]
-                    found |= {(0, item, e, a + begin, b + begin) for _, item, e, a, b in search_shard([window], phrases, edits)}
-                yield from rows_of(sorted(found), [doc])
-
-            types = [to_arrow_type(f.dataType) for f in schema.fields]
-            if not phrases.ids:
-                return
-            for batch in batches:
-                for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    t = t.as_py()
-                    if t in keys:  # copies within a shard are indexed once
-                        keys[t].append(k)
-                        continue
-                    w, spans = words_of(t)
-                    if not w:
-                        continue
-                    keys[t] = [k]
-                    if len(w) > shard_words:
-                        yield from long_text((w, spans, t))
-                        del keys[t]
-                        continue
-                    kept.append((w, spans, t))
-                    held += len(w)
-                    if held >= shard_words:
-                        yield from flush()
-                        keys, kept, held = {}, [], 0
-            if kept:
-                yield from flush()
-
-        return source.mapInArrow(run, schema)
-
-    out = None
-    for i in range(0, max(1, len(rows)), items_per_pass):
-        part = one_pass(rows[i : i + items_per_pass])
-        out = part if out is None else out.unionByName(part)
-    return out
+    shared = spark.sparkContext.broadcast([rows[i : i + items_per_pass] for i in range(0, len(rows), items_per_pass)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a few blocks of phrases are kept between shards; of a larger benchmark they are made anew
+        prepared = lru_cache(maxsize=4)(lambda i: Phrases(shared.value[i], min_words, stretch, edits))
+        blocks = range(len(shared.value))
+        longest = max((len(words_of(q)[0]) for block in shared.value for _, q in block), default=0)
+        keys: dict[str, list] = {}
+        kept, held = [], 0
+        types = [to_arrow_type(f.dataType) for f in schema.fields]
+
+        def rows_of(found: list, docs_: list, phrases: Phrases) -> Iterator[pa.RecordBatch]:
+            finds: dict[tuple[int, int], list] = {}
+            for d, item, e, a, b in found:
+                finds.setdefault((d, item), []).append((e, a, b))
+            out = []
+            for (d, item), hits in finds.items():
+                _, spans, text_ = docs_[d]
+                whole = [e for e, _, _ in hits if e >= 0]
+                ranges = merged([(spans[a][0], spans[b - 1][1]) for _, a, b in hits if b > a])
+                at = [{"start": a, "end": b} for a, b in ranges]
+                out += [(k, phrases.ids[item], min(whole) if whole else None, at) for k in keys[text_]]
+            if out:
+                cols = [pa.array([o[i] for o in out], type=t) for i, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            shard = Shard([w for w, _, _ in kept])
+            for i in blocks:
+                if prepared(i).ids:
+                    yield from rows_of(shard.find(prepared(i), edits), kept, prepared(i))
+
+        def long_text(doc: tuple) -> Iterator[pa.RecordBatch]:
+            """Texts beyond a shard go through it in windows that overlap by more than the longest question."""
+            overlap = 2 * (longest + edits)
+            step = max(shard_words, overlap)
+            found: dict[int, set] = {}
+            for begin in range(0, len(doc[0]), step):
+                shard = Shard([doc[0][begin : begin + step + overlap]])
+                for i in blocks:
+                    if prepared(i).ids:
+                        found.setdefault(i, set()).update((0, item, e, a + begin, b + begin) for _, item, e, a, b in shard.find(prepared(i), edits))
+            for i, hits in found.items():
+                yield from rows_of(sorted(hits), [doc], prepared(i))
+
+        if longest < min_words:
+            return
+        for batch in batches:
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                t = t.as_py()
+                if t in keys:  # copies within a shard are indexed once
+                    keys[t].append(k)
+                    continue
+                w, spans = words_of(t)
+                if not w:
+                    continue
+                keys[t] = [k]
+                if len(w) > shard_words:
+                    yield from long_text((w, spans, t))
+                    del keys[t]
+                    continue
+                kept.append((w, spans, t))
+                held += len(w)
+                if held >= shard_words:
+                    yield from flush()
+                    keys, kept, held = {}, [], 0
+        if kept:
+            yield from flush()
+
+    return source.mapInArrow(run, schema)
 
 
 def removal_spans(leaks: DataFrame, doc_id: str = "doc_id") -> DataFrame:
