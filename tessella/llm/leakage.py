@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,6 +43,20 @@ def words_of(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     return words, spans
 
 
+_MARKUP = re.compile(r"</?[A-Za-z!][^<>]{0,300}>|&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z]+\d?);")
+_ASCII_WORD = re.compile(r"[a-z0-9]+")
+_WORD = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}\p{M}]*")
+
+
+def only_words(text: str) -> list[str]:
+    """The words of ``words_of`` without their spans, which only documents with finds need."""
+    if "<" in text or "&" in text:
+        text = _MARKUP.sub(" ", text)
+    if text.isascii():
+        return _ASCII_WORD.findall(text.lower().replace("'", "").replace("-", ""))
+    return [w.lower() for w in _WORD.findall(text.translate(_DROP))]
+
+
 def edit_within(question: list, window: list, most: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best place of ``question`` in ``window`` with at most ``most`` word edits."""
     m = len(window)
@@ -75,7 +90,7 @@ class Phrases:
         self.ids, self.words, phrase = [], [], []
         self.number: dict[str, int] = {}
         for item, question in items:
-            w = words_of(question)[0]
+            w = only_words(question)
             if len(w) < min_words:
                 continue
             k = len(self.ids)
@@ -196,7 +211,8 @@ def find_leaks(
         # a few blocks of phrases are kept between shards; of a larger benchmark they are made anew
         prepared = lru_cache(maxsize=4)(lambda i: Phrases(shared.value[i], min_words, stretch, edits))
         blocks = range(len(shared.value))
-        longest = max((len(words_of(q)[0]) for block in shared.value for _, q in block), default=0)
+        longest = max((len(only_words(q)) for block in shared.value for _, q in block), default=0)
+        spans_of = lru_cache(maxsize=64)(lambda t: words_of(t)[1])
         keys: dict[str, list] = {}
         kept, held = [], 0
         types = [to_arrow_type(f.dataType) for f in schema.fields]
@@ -207,7 +223,8 @@ def find_leaks(
                 finds.setdefault((d, item), []).append((e, a, b))
             out = []
             for (d, item), hits in finds.items():
-                _, spans, text_ = docs_[d]
+                text_ = docs_[d][1]
+                spans = spans_of(text_)
                 whole = [e for e, _, _ in hits if e >= 0]
                 ranges = merged([(spans[a][0], spans[b - 1][1]) for _, a, b in hits if b > a])
                 at = [{"start": a, "end": b} for a, b in ranges]
@@ -217,7 +234,7 @@ def find_leaks(
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            shard = Shard([w for w, _, _ in kept])
+            shard = Shard([w for w, _ in kept])
             for i in blocks:
                 if prepared(i).ids:
                     yield from rows_of(shard.find(prepared(i), edits), kept, prepared(i))
@@ -243,15 +260,15 @@ def find_leaks(
                 if t in keys:  # copies within a shard are indexed once
                     keys[t].append(k)
                     continue
-                w, spans = words_of(t)
+                w = only_words(t)
                 if not w:
                     continue
                 keys[t] = [k]
                 if len(w) > shard_words:
-                    yield from long_text((w, spans, t))
+                    yield from long_text((w, t))
                     del keys[t]
                     continue
-                kept.append((w, spans, t))
+                kept.append((w, t))
                 held += len(w)
                 if held >= shard_words:
                     yield from flush()

@@ -95,6 +95,13 @@ def test_leaks(spark, text, edits, found):
         assert {r["edits"] for r in rows} == {edits}
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aB1é\u0301İ-'’ <b>/&amp;#3\u200b\u00ad.\n漢ß", max_size=40))
+def test_words_with_and_without_spans(text):
+    words, spans = leakage.words_of(text)
+    assert leakage.only_words(text) == words and len(spans) == len(words)
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(40)]
