@@ -129,7 +129,7 @@ def trusted(passage: str) -> int:
     """Kind of a trusted error or placeholder record, 0 for all other passages; what stands in quotes doesn't count."""
     passage = _SPOKEN.sub(" ", passage).strip()
     kind, low = 0, passage.lower()
-    if any(k in low for k in _PIECES) or len(set(low.split())) <= 3:
+    if any(map(low.__contains__, _PIECES)) or len(set(low.split())) <= 3:
         bare = _STRAY.sub("", passage)
         kind = next((k for k, pattern in ((NOTICE, _NOTICE), (FILLER, _FILLER)) if pattern.search(passage) or pattern.search(bare)), 0)
     if not kind and _SLOT_HINT.search(passage) and any(p.search(passage) for n, p in _SLOTS if n in TRUSTED_SLOTS):
