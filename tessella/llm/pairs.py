@@ -362,16 +362,21 @@ def _goes_on(text: str, after: str | None) -> str | None:
 
 #: Standard deviations above its neighbours from which a length is a limit.
 SPIKE = 6.0
+#: Share of a table's open answers that a limit cuts at least; answers below ``LONG`` characters only serve as neighbours.
+SPIKE_SHARE, LONG = 0.02, 40
 
 
 def length_limits(pairs: DataFrame) -> DataFrame:
     """(tab, size): lengths at which distinct open answers pile up, as a limit on the length of answers makes them: more
-    than ``SPIKE`` deviations above what the six lengths on either side let expect (counts vary by their root)."""
-    hist = pairs.where((F.col("ending") == "open") & (F.length("text") >= 40)).groupBy("tab", F.length("text").alias("size")).agg(F.count_distinct("text").alias("n"))
+    than ``SPIKE`` deviations above what the six lengths on either side let expect (counts vary by their root), and at
+    least ``SPIKE_SHARE`` of all."""
+    hist = pairs.where((F.col("ending") == "open") & (F.length("text") >= LONG - 6)).groupBy("tab", F.length("text").alias("size")).agg(F.count_distinct("text").alias("n"))
     # at most a row for each length that occurs, whatever the number of answers
     around = Window.partitionBy("tab").orderBy("size").rangeBetween(-6, 6)
     expected = (F.sum("n").over(around) - F.col("n")) / 12
-    return hist.withColumn("expected", expected).where(F.col("n") - F.col("expected") > SPIKE * F.sqrt(F.col("expected") + 1)).select("tab", "size")
+    hist = hist.withColumn("expected", expected).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("tab")))
+    spike = F.col("n") - F.col("expected") > SPIKE * F.sqrt(F.col("expected") + 1)
+    return hist.where(spike & (F.col("share") >= SPIKE_SHARE) & (F.col("size") >= LONG)).select("tab", "size")
 
 
 def broken_pairs(demos: DataFrame, training: DataFrame) -> DataFrame:
@@ -430,7 +435,7 @@ def truncated_texts(answers: DataFrame, limits: DataFrame, pairs: DataFrame) ->
     known = F.when(F.col("n2") >= 3, F.col("e2") >= 0.02 * F.col("n2")).when(F.col("n1") >= 3, F.col("e1") >= 0.02 * F.col("n1")).otherwise(False)
     known = known | (F.col("n1") >= 3) & (F.greatest("after1", "after2") >= 0.3)
     long = F.col("words") >= 4
-    by_limit = long & F.col("limit").isNotNull() & (F.col("e2") <= 0.2 * F.col("n2"))
+    by_limit = long & F.col("limit").isNotNull() & ((F.col("e2") < 0.2 * F.col("n2")) | (F.col("n1") == 0))
     by_neighbour = ((F.col("words") >= 2) & (F.col("extended") == "inside") & ((F.col("n1") < 2) | long & (F.col("e2") == 0))) | (long & (F.col("extended") == "word"))
     by_ends = ((F.col("words") >= 2) & F.col("v").isin(_NEVER_LAST)) | (long & ~known)
     route = F.when(by_limit, "limit").when(by_neighbour, "neighbour").when(by_ends, "ends")
